@@ -9,7 +9,7 @@ row per day of its look-back in the gap window, and amount medians use the block
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,7 +53,8 @@ def gap_statistics(payments: DataFrame, keys: Sequence[str]) -> DataFrame:
     mean = F.try_divide(F.col("_s1"), F.col("gap_count"))
     variance = F.try_divide(F.col("_s2"), F.col("gap_count")) - mean * mean
     return stats.select(*keys, "payments", "gap_count", mean.alias("gap_mean"),
-                        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("gap_std"),
+                        F.when(F.col("gap_count") > 0, F.sqrt(F.greatest(variance, F.lit(0.0))))
+                         .alias("gap_std"),
                         F.when(F.col("gap_count") > 0, F.col("interval")).alias("interval"))
 
 
@@ -198,38 +199,49 @@ def change_sums(ledger: DataFrame, stops: DataFrame, params: Params) -> DataFram
         .alias("baseline"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once inside an expression: a transform over an array of one element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _array_median(values: Column) -> Column:
-    ordered, last = F.array_sort(values), F.size(values) - 1
-    low = F.get(ordered, F.floor(last / 2).cast("int"))
-    high = F.get(ordered, F.ceil(last / 2).cast("int"))
-    return (low + high) / 2.0
-
-
-def _with_pattern(rows: DataFrame, end: Column, params: Params) -> DataFrame:
-    """Add n, interval, median_amount and exists of the payment array over (end - length, end]."""
-    days = F.transform("regular", lambda p: p.day)
-    first_gap, rest = F.slice("days", 1, F.size("days") - 1), F.slice("days", 2, F.size("days") - 1)
-    mean = (F.element_at("days", -1) - F.element_at("days", 1)) / (F.col("n") - 1)
-    spread = F.aggregate("gaps", F.lit(0.0), lambda acc, g: acc + (g - F.col("gap_mean"))
-                         * (g - F.col("gap_mean")))
-    usual = F.col("usual") * params.bonus_multiple
-    return (rows
-            .withColumn("inside", F.filter("payments", lambda p: (p.day > end - F.col("length"))
-                                           & (p.day <= end)))
-            .withColumn("usual", F.when(F.col("bonus_rule"), _array_median(
-                F.transform("inside", lambda p: p.amount))))
-            .withColumn("regular", F.when(F.col("bonus_rule"), F.filter(
-                "inside", lambda p: p.amount <= usual)).otherwise(F.col("inside")))
-            .withColumn("days", F.array_sort(days)).withColumn("n", F.size("regular"))
-            .withColumn("gaps", F.when(F.col("n") > 1, F.zip_with(rest, first_gap,
-                                                                  lambda a, b: a - b)))
-            .withColumn("gap_mean", F.when(F.col("n") > 1, mean))
-            .withColumn("interval", _array_median(F.col("gaps")))
-            .withColumn("median_amount", _array_median(F.transform("regular", lambda p: p.amount)))
-            .withColumn("exists", (F.col("n") >= params.min_occurrences) & is_true(
-                F.try_divide(F.sqrt(spread / (F.col("n") - 1)), F.col("gap_mean"))
-                < params.cv_max))
-            .drop("inside", "usual", "regular", "days", "gaps", "gap_mean"))
+    def middle(ordered: Column) -> Column:
+        last = F.size(ordered) - 1
+        return (F.get(ordered, F.floor(last / 2).cast("int"))
+                + F.get(ordered, F.ceil(last / 2).cast("int"))) / 2.0
+    return _let(F.array_sort(values), middle)
+
+
+def _pattern(end: Column, params: Params) -> Column:
+    """Struct (interval, median_amount, exists) of the payment array over (end - length, end]."""
+    bonus = F.col("bonus_rule")
+
+    def decide(regular: Column, gaps: Column) -> Column:
+        count, steps = F.size(regular), F.size(gaps)
+        mean = F.try_divide(F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g), steps)
+        spread = _let(mean, lambda m: F.try_divide(F.sqrt(F.aggregate(
+            gaps, F.lit(0.0), lambda acc, g: acc + (g - m) * (g - m)) / steps), m))
+        found = (count >= params.min_occurrences) & is_true(spread < params.cv_max)
+        return F.struct(_array_median(gaps).alias("interval"),
+                        _array_median(F.transform(regular, lambda p: p.amount))
+                        .alias("median_amount"), found.alias("exists"))
+
+    def gaps_of(days: Column) -> Column:
+        steps = F.greatest(F.size(days) - 1, F.lit(0))
+        return F.zip_with(F.slice(days, 2, steps), F.slice(days, 1, steps), lambda b, a: b - a)
+
+    def regular_of(inside: Column) -> Column:
+        usual = F.when(bonus, _array_median(F.transform(inside, lambda p: p.amount)))
+        return _let(usual, lambda u: F.when(bonus, F.filter(
+            inside, lambda p: p.amount <= u * params.bonus_multiple)).otherwise(inside))
+
+    def from_end(last: Column) -> Column:
+        inside = F.filter("payments", lambda p: (p.day > last - F.col("length")) & (p.day <= last))
+        return _let(_let(inside, regular_of), lambda reg: _let(
+            gaps_of(F.array_sort(F.transform(reg, lambda p: p.day))),
+            lambda gaps: decide(reg, gaps)))
+
+    return _let(end, from_end)
 
 
 def _array_sum(payments: str, keep, value) -> Column:
@@ -241,26 +253,27 @@ def array_stops(ledger: DataFrame, params: Params) -> DataFrame:
     rows = (expand_cases(ledger.repartition("household_id"), params)
             .groupBy(*KEYS, "bonus_rule", "length", "end")
             .agg(F.collect_list(F.struct(F.col("day"), F.col("amount"))).alias("payments")))
-    first = _with_pattern(rows, F.col("end"), params)
     two_pass = F.col("case").isin("salary", "flows")
-    first = first.withColumn("end", F.when(two_pass, -stop_threshold(F.col("interval"), params))
+    first = rows.withColumn("first", _pattern(F.col("end"), params))
+    known = first.withColumn("end", F.when(two_pass, -stop_threshold(F.col("first.interval"), params))
                              .otherwise(F.col("end")))
-    known = _with_pattern(first, F.col("end"), params)
-    cap = F.col("median_amount") * params.bonus_multiple
-    counted = F.filter("payments", lambda p: ~F.col("bonus_rule") | is_true(p.amount <= cap))
-    known = (known.withColumn("counted", counted)
-             .withColumn("last_day", F.array_max(F.transform("counted", lambda p: p.day))))
-    quarterly = F.col("interval") > params.quarterly_interval_days
+    known = known.withColumn("p", F.when(two_pass, _pattern(F.col("end"), params))
+                             .otherwise(F.col("first")))
+    cap = F.col("p.median_amount") * params.bonus_multiple
+    known = known.withColumn("counted", F.filter(
+        "payments", lambda p: ~F.col("bonus_rule") | is_true(p.amount <= cap)))
+    last_day = F.array_max(F.transform("counted", lambda p: p.day))
+    quarterly = F.col("p.interval") > params.quarterly_interval_days
     reach = F.when(quarterly, params.quarterly_window_days).otherwise(params.change_gap_days)
     recent = _array_sum("counted", lambda p: (p.day > -reach) & (p.day <= 0), lambda p: p.amount)
     baseline = _array_sum("counted", lambda p: in_window(p.day, -params.change_baseline_days,
                                                          -params.change_gap_days),
                           lambda p: p.amount)
-    change = (F.col("case") == "change") & F.col("exists")
+    change = (F.col("case") == "change") & F.col("p.exists")
     return known.select(
-        *KEYS, "exists", "interval", "median_amount", "last_day", "payments",
-        (F.col("exists") & F.coalesce(F.col("last_day") <= F.col("end"), F.lit(True)))
-        .alias("stopped"),
+        *KEYS, F.col("p.exists").alias("exists"), F.col("p.interval").alias("interval"),
+        F.col("p.median_amount").alias("median_amount"), last_day.alias("last_day"), "payments",
+        (F.col("p.exists") & F.coalesce(last_day <= F.col("end"), F.lit(True))).alias("stopped"),
         F.when(change, recent / F.when(quarterly, 3).otherwise(1)).alias("recent"),
         F.when(change, baseline / params.change_baseline_months).alias("baseline"))
 

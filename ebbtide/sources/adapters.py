@@ -30,8 +30,26 @@ EVENT_DETECTOR = dict(cv_max=0.97, payroll_lookback_days=30, recurring_lookback_
                       quarterly_interval_days=6.0, quarterly_window_days=14)
 
 
+# Declared schemas: no inference job per read.
+SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _mod(column: str, n: int) -> Column:
@@ -46,7 +64,8 @@ def _day_range(date_column: str, first: int, last: int) -> Column:
     """Timestamp bounds written as literals so that parquet row groups can be skipped."""
     start = datetime.datetime.combine(SNAPSHOT, datetime.time()) + datetime.timedelta(days=first)
     stop = datetime.datetime.combine(SNAPSHOT, datetime.time()) + datetime.timedelta(days=last + 1)
-    return (F.col(date_column) >= F.lit(start)) & (F.col(date_column) < F.lit(stop))
+    low, high = F.lit(start).cast("timestamp_ntz"), F.lit(stop).cast("timestamp_ntz")
+    return (F.col(date_column) >= low) & (F.col(date_column) < high)
 
 
 def household(spark: SparkSession, sf_dir: str) -> DataFrame:
