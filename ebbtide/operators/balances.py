@@ -52,7 +52,8 @@ def trailing_means(panel: DataFrame, k: int) -> DataFrame:
         complete_mean("deposit_avg_balance", -6, -1).alias("baseline_mean"))
 
 
-def balance_variables(panel: DataFrame, household: DataFrame, params: Params) -> DataFrame:
+def balance_facts() -> list[Column]:
+    """Panel aggregates behind the balance variables."""
     deposit, ex_market = "deposit_avg_balance", F.col("aum_month_end") / F.col("twr_index")
     aggs: list[Column] = []
     for k, tag in ((1, "30d"), (3, "90d")):
@@ -70,10 +71,13 @@ def balance_variables(panel: DataFrame, household: DataFrame, params: Params) ->
              complete_mean(ex_market, -6, -1).alias("ex_market_base"),
              value_at(deposit, 0).alias("deposit_now"),
              complete_mean(deposit, -6, -1).alias("deposit_base")]
-    wide = household.select("household_id", "has_investments").join(
-        panel.groupBy("household_id").agg(*aggs), "household_id", "left")
+    return aggs
+
 
-    out, floor = [F.col("household_id")], params.min_balance_for_pct
+def balance_columns(params: Params) -> list[Column]:
+    """Variables from a household row joined with its balance facts."""
+    out: list[Column] = []
+    floor = params.min_balance_for_pct
     for tag in ("30d", "90d"):
         ok = F.col("has_investments") & F.col(f"ok_{tag}")
         amount = F.greatest(F.col(f"net_out_{tag}"), F.lit(0.0))
@@ -93,4 +97,10 @@ def balance_variables(panel: DataFrame, household: DataFrame, params: Params) ->
              .alias("aum_vs_baseline_pct"),
             (safe_pct(F.col("deposit_now"), F.col("deposit_base"), floor) - 1)
              .alias("deposit_balance_vs_6m_avg_pct")]
-    return wide.select(*out)
+    return out
+
+
+def balance_variables(panel: DataFrame, household: DataFrame, params: Params) -> DataFrame:
+    facts = panel.groupBy("household_id").agg(*balance_facts())
+    wide = household.select("household_id", "has_investments").join(facts, "household_id", "left")
+    return wide.select("household_id", *balance_columns(params))

@@ -28,20 +28,31 @@ def windowed_sums(ledger: DataFrame, windows: dict[str, tuple[int, int]],
           for name, (low, high) in windows.items()])
 
 
-def average_balance(panel: DataFrame, household: DataFrame, cash_share: Column) -> DataFrame:
-    """Deposits plus the cash part of investments, averaged over 1, 2 and 3 months."""
-    windows = {"balance_30d": 0, "balance_60d": -1, "balance_90d": -2}
-    aggs = []
-    for name, low in windows.items():
+BALANCE_WINDOWS = {"balance_30d": 0, "balance_60d": -1, "balance_90d": -2}
+
+
+def average_balance_facts() -> list[Column]:
+    aggs: list[Column] = []
+    for name, low in BALANCE_WINDOWS.items():
         aggs += [complete(low, 0).alias(f"{name}_ok"),
                  mean_over("deposit_avg_balance", low, 0).alias(f"{name}_dep"),
                  mean_over("aum_month_end", low, 0).alias(f"{name}_aum")]
+    return aggs
+
+
+def average_balance_column(name: str) -> Column:
+    """Deposits plus the cash part of investments; NULL unless the window is complete."""
+    cash = F.when(F.col("has_investments"), F.col("cash_share") * F.col(f"{name}_aum")) \
+            .otherwise(0.0)
+    return F.when(F.col(f"{name}_ok"), F.col(f"{name}_dep") + cash)
+
+
+def average_balance(panel: DataFrame, household: DataFrame, cash_share: Column) -> DataFrame:
+    facts = panel.groupBy("household_id").agg(*average_balance_facts())
     wide = household.select("household_id", "has_investments", cash_share.alias("cash_share")).join(
-        panel.groupBy("household_id").agg(*aggs), "household_id", "left")
-    cash = {n: F.when(F.col("has_investments"), F.col("cash_share") * F.col(f"{n}_aum"))
-                .otherwise(0.0) for n in windows}
-    return wide.select("household_id", *[
-        F.when(F.col(f"{n}_ok"), F.col(f"{n}_dep") + cash[n]).alias(n) for n in windows])
+        facts, "household_id", "left")
+    return wide.select("household_id", *[average_balance_column(n).alias(n)
+                                         for n in BALANCE_WINDOWS])
 
 
 def destination_flows(ledger: DataFrame, institutions: DataFrame, params: Params) -> DataFrame:
@@ -113,22 +124,15 @@ def concentration(amounts: DataFrame, group: str, part: str, value: str) -> Data
                          .alias("hhi"))
 
 
-def transfer_variables(ledger: DataFrame, institutions: DataFrame, panel: DataFrame,
-                       household: DataFrame, params: Params,
-                       cash_share: Column | None = None) -> DataFrame:
-    cash_share = F.lit(0.1) if cash_share is None else cash_share
-    folded = household_flows(destination_flows(ledger, institutions, params), params)
-    balance = average_balance(panel, household, cash_share)
-    wide = (household.select("household_id", "history_months")
-            .join(balance, "household_id", "left").join(folded, "household_id", "left"))
+def transfer_columns(params: Params) -> list[Column]:
+    """Variables from a household row joined with its balance facts and folded flows."""
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in FLOW_SUMS}
-    b30, b60, b90 = (F.col(f"balance_{w}d") for w in (30, 60, 90))
+    b30, b60, b90 = (average_balance_column(n) for n in BALANCE_WINDOWS)
     history, floor = F.col("history_months"), params.min_balance_for_pct
     last, previous, oldest = zero["out_30"], zero["out_30_60"], zero["out_60_90"]
     moved = (last + previous + oldest) > 0
     baseline = F.greatest(zero["out_30_210"] / 6, F.lit(params.outflow_baseline_floor_monthly))
-    return wide.select(
-        "household_id",
+    return [
         F.when(history >= 2, cents(zero["out_60"])).alias("external_transfer_amount_60d"),
         safe_pct(zero["out_60"], b60, floor).alias("external_transfer_pct_of_balance_60d"),
         safe_pct(last, b30, floor).alias("external_transfer_pct_of_balance_30d"),
@@ -146,4 +150,14 @@ def transfer_variables(ledger: DataFrame, institutions: DataFrame, panel: DataFr
         F.when(history >= 3, F.try_divide(F.col("square_90"), F.col("out_90") * F.col("out_90")))
          .alias("external_destination_concentration"),
         safe_pct(last + previous + oldest, b90, floor).alias("external_outflow_pct_90d"),
-        F.when(history >= 7, last / baseline - 1).alias("outflow_vs_baseline_pct"))
+        F.when(history >= 7, last / baseline - 1).alias("outflow_vs_baseline_pct")]
+
+
+def transfer_variables(ledger: DataFrame, institutions: DataFrame, panel: DataFrame,
+                       household: DataFrame, params: Params, cash_share: Column) -> DataFrame:
+    folded = household_flows(destination_flows(ledger, institutions, params), params)
+    facts = panel.groupBy("household_id").agg(*average_balance_facts())
+    wide = (household.select("household_id", "history_months", "has_investments",
+                             cash_share.alias("cash_share"))
+            .join(facts, "household_id", "left").join(folded, "household_id", "left"))
+    return wide.select("household_id", *transfer_columns(params))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.operators import composite, investments, recurring, relationship, transfers
-from ebbtide.operators.balances import balance_variables
+from ebbtide.operators.balances import balance_columns, balance_facts, balance_variables
 from ebbtide.params import Params
+from ebbtide.plans.memo import plan_memo
 from ebbtide.sources import adapters as src
 
 DEFAULT = Params()
@@ -18,16 +19,19 @@ def cash_share() -> Column:
     return F.col("household_id") % 20 / 100
 
 
+@plan_memo
 def balances(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFrame:
     return balance_variables(src.monthly(spark, sf), src.household(spark, sf), params)
 
 
+@plan_memo
 def recurring_flows(spark: SparkSession, sf: str, params: Params = EVENT_PARAMS) -> DataFrame:
     return recurring.recurring_variables(src.recurring_tx(spark, sf),
                                          src.recurring_event(spark, sf),
                                          src.household(spark, sf), params)
 
 
+@plan_memo
 def transfer_flows(spark: SparkSession, sf: str, params: Params = DEFAULT,
                    ledger: DataFrame | None = None) -> DataFrame:
     ledger = src.transfer(spark, sf) if ledger is None else ledger
@@ -35,49 +39,79 @@ def transfer_flows(spark: SparkSession, sf: str, params: Params = DEFAULT,
                                         src.household(spark, sf), params, cash_share())
 
 
+@plan_memo
 def portfolio(spark: SparkSession, sf: str, params: Params = DEFAULT,
               count_rmd: bool = False) -> DataFrame:
-    tilt = (F.col("household_id") % 11 - 5) / 50
-    returns = src.monthly_return(spark, sf).withColumn("equity_share", F.col("equity_share") + tilt)
     return investments.investment_variables(
         src.monthly(spark, sf), src.transfer(spark, sf), src.portfolio_event(spark, sf),
-        src.monthly_cash(spark, sf), returns, src.household(spark, sf), params,
-        count_rmd=count_rmd)
+        src.monthly_cash(spark, sf), _returns(spark, sf), src.household(spark, sf), params,
+        count_rmd)
 
 
+def _returns(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly returns with the benchmark share tilted per household."""
+    tilt = (F.col("household_id") % 11 - 5) / 50
+    return src.monthly_return(spark, sf).withColumn("equity_share", F.col("equity_share") + tilt)
+
+
+@plan_memo
+def panel_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Balance, transfer and investment variables together: the panel is folded once for all."""
+    panel = investments.panel_with_sales(src.monthly(spark, sf), src.transfer(spark, sf))
+    facts = panel.groupBy("household_id").agg(
+        *balance_facts(), *transfers.average_balance_facts(), *investments.investment_facts())
+    flows = transfers.household_flows(transfers.destination_flows(
+        src.transfer(spark, sf), src.institution(spark, sf), DEFAULT), DEFAULT)
+    wide = src.household(spark, sf).select("household_id", "has_investments", "has_advisory",
+                                           "history_months", cash_share().alias("cash_share"))
+    for part in (facts, flows, investments.event_facts(src.portfolio_event(spark, sf)),
+                 investments.cash_facts(src.monthly_cash(spark, sf)),
+                 investments.return_facts(_returns(spark, sf), DEFAULT)):
+        wide = wide.join(part, "household_id", "left")
+    return wide.select("household_id", *balance_columns(DEFAULT),
+                       *transfers.transfer_columns(DEFAULT), *investments.investment_columns())
+
+
+@plan_memo
 def relations(spark: SparkSession, sf: str) -> DataFrame:
     return relationship.relationship_variables(
         src.account(spark, sf), src.wealth_estimate(spark, sf), src.trust_event(spark, sf),
         src.household(spark, sf))
 
 
+@plan_memo
 def banker(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFrame:
     return relationship.banker_variables(
         src.household(spark, sf), src.banker(spark, sf), src.household_banker_event(spark, sf),
         src.interaction(spark, sf), params)
 
 
+@plan_memo
 def complaints(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFrame:
     return relationship.complaint_variables(src.complaint(spark, sf), src.assistant(spark, sf),
                                             src.household(spark, sf), params)
 
 
+@plan_memo
 def bureau(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFrame:
     return relationship.bureau_variable(src.tradeline(spark, sf), src.bureau(spark, sf),
                                         src.household(spark, sf), params)
 
 
+@plan_memo
 def seven_groups(spark: SparkSession, sf: str) -> DataFrame:
     household = src.household(spark, sf).select("household_id")
     return composite.join_features(household, [
-        balances(spark, sf), recurring_flows(spark, sf), transfer_flows(spark, sf),
-        portfolio(spark, sf), relations(spark, sf), banker(spark, sf), complaints(spark, sf)])
+        panel_groups(spark, sf), recurring_flows(spark, sf), relations(spark, sf),
+        banker(spark, sf), complaints(spark, sf)])
 
 
+@plan_memo
 def composite_features(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFrame:
     return composite.composite_variables(seven_groups(spark, sf), params)
 
 
+@plan_memo
 def full_base(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFrame:
     """Household attributes, all feature tables, the composite and the bureau variable."""
     groups = seven_groups(spark, sf)
@@ -92,6 +126,7 @@ def full_base(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFra
         "multi_signal_flag", (count >= params.multi_signal_min_groups).cast("int"))
 
 
+@plan_memo
 def core_base(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFrame:
     full = full_base(spark, sf, params)
     extras = tuple(c for c in full.columns if c.startswith("group_alert_"))

@@ -11,9 +11,9 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbtide.functions.columns import (as_flag, day_offset, in_window, month_of,
-                                       routing_check_digit)
+from ebbtide.functions.columns import as_flag, day_offset, month_of, routing_check_digit
 from ebbtide.operators.accounts import complaint_lifecycle
+from ebbtide.plans.memo import plan_memo
 
 SNAPSHOT = datetime.date(1999, 12, 31)
 EVENT_SNAPSHOT = datetime.date(2024, 1, 30)
@@ -68,6 +68,7 @@ def _day_range(date_column: str, first: int, last: int) -> Column:
     return (F.col(date_column) >= low) & (F.col(date_column) < high)
 
 
+@plan_memo
 def household(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     key, balance = F.col("household_id"), F.abs(F.col("c_acctbal"))
@@ -117,6 +118,7 @@ def household(spark: SparkSession, sf_dir: str) -> DataFrame:
                .otherwise(0.0)).alias("value_lost_6m"))
 
 
+@plan_memo
 def institution(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     kind = (F.when(F.col("s_nationkey") < 5, "private_bank")
@@ -132,6 +134,7 @@ def _routing_number(inst: Column, slot: Column) -> Column:
     return F.concat(first, routing_check_digit(first).cast("string"))
 
 
+@plan_memo
 def institution_aba(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One routing number per institution, two for the even ones."""
     inst = institution(spark, sf_dir).select("inst_id")
@@ -141,22 +144,24 @@ def institution_aba(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_routing_number(F.col("inst_id"), F.col("slot")).alias("aba"), "inst_id")
 
 
-def _ledger_lines(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter(_day_range("l_shipdate", -days + 1, 0))
+@plan_memo
+def _ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").filter(_day_range("l_shipdate", -547, 0))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
                  .withColumn("date", F.to_date("l_shipdate"))
                  .withColumn("day", day_offset("date", F.lit(SNAPSHOT))))
 
 
-def transfer(spark: SparkSession, sf_dir: str, days: int = 548) -> DataFrame:
+@plan_memo
+def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_linenumber")
     category = (F.when(line == 1, "background").when(line == 2, "incoming").when(line == 3, "biller")
                  .when(line == 4, "move_acats").when(line == 5, "one_off")
                  .when(line == 6, "move_deposit").otherwise("irs_tax"))
     has_institution = ~line.isin(3, 7)
     slot = F.when(F.col("l_suppkey") % 2 == 0, F.col("l_orderkey") % 2).otherwise(0)
-    return _ledger_lines(spark, sf_dir, days).select(
+    return _ledger_lines(spark, sf_dir).select(
         F.col("o_custkey").alias("household_id"), "date", "day", category.alias("category"),
         F.round("l_extendedprice", 2).alias("amount"),
         F.when(has_institution, F.col("l_suppkey")).otherwise(F.lit(-1)).alias("inst_id"),
@@ -164,17 +169,19 @@ def transfer(spark: SparkSession, sf_dir: str, days: int = 548) -> DataFrame:
         F.when(has_institution, _routing_number(F.col("l_suppkey"), slot)).alias("aba"))
 
 
+@plan_memo
 def portfolio_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, flag = F.col("l_linenumber"), F.col("l_returnflag")
     kind = (F.when((flag == "A") & (line <= 2), "liq").when((flag == "A") & (line <= 4), "prop")
              .when(flag == "A", "fsale").when(flag == "N", "mat")
              .when(line == 7, "rmd").otherwise("reinv"))
-    return _ledger_lines(spark, sf_dir, 548).select(
+    return _ledger_lines(spark, sf_dir).select(
         F.col("o_custkey").alias("household_id"), kind.alias("kind"), "day",
         _truncate_cents(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("amount"),
         (F.col("l_discount") * 5).alias("full_share"))
 
 
+@plan_memo
 def monthly_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Household x month panel -23..6: month flows are summed first, then run over 30 rows each."""
     grid = (table(spark, sf_dir, "customer")
@@ -214,10 +221,12 @@ def monthly_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("month") > -history).alias("available"))
 
 
+@plan_memo
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly_all(spark, sf_dir).filter(F.col("month") <= 0)
 
 
+@plan_memo
 def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = monthly_all(spark, sf_dir).filter(F.col("month") >= 0)
     return panel.select("household_id", F.col("month").alias("k"),
@@ -227,17 +236,20 @@ def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (_mod("household_id", 150) == 0).alias("excluded"))
 
 
+@plan_memo
 def _household_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("household_id"))
             .select("household_id",
                     F.explode(F.sequence(F.lit(FIRST_MONTH), F.lit(0))).alias("month")))
 
 
+@plan_memo
 def monthly_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = ((F.col("household_id") * 31 + (F.col("month") + 23) * 17) % 95) / 100
     return _household_months(spark, sf_dir).withColumn("cash_pct", share)
 
 
+@plan_memo
 def monthly_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, m = F.col("household_id"), F.col("month") + 23
     return _household_months(spark, sf_dir).select(
@@ -246,6 +258,7 @@ def monthly_return(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 70 / 100 + 0.3).alias("equity_share"))
 
 
+@plan_memo
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "events")
             .select("event_id", F.col("user_id").alias("household_id"), "event_type", "value",
@@ -254,6 +267,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("day", day_offset("date", F.lit(EVENT_SNAPSHOT))))
 
 
+@plan_memo
 def recurring_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     even, kind = F.col("household_id") % 2 == 0, F.col("event_type")
     nine = F.col("k") % 10 == 9
@@ -269,6 +283,7 @@ def recurring_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(debit, "CCD").otherwise("PPD").alias("sec_code"), F.col("value").alias("amount"))
 
 
+@plan_memo
 def recurring_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("household_id")
     return (table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("household_id"))
@@ -278,6 +293,7 @@ def recurring_event(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (key % 37 == 0).alias("business_sale")))
 
 
+@plan_memo
 def interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     mapped = (F.when(kind == "click", "call").when(kind == "view", "email")
@@ -288,6 +304,7 @@ def interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("k") % 2 == 0).alias("replied_7d"), (F.col("value") / 10).alias("minutes"))
 
 
+@plan_memo
 def complaint_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(c) for c in EVENT_SLA_DAYS])
     level = F.element_at(F.array(F.lit("management"), F.lit("ombudsman"), F.lit("regulator"),
@@ -300,10 +317,12 @@ def complaint_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         level.alias("escalation_level"), (F.col("k") % 13 == 0).alias("reopened"))
 
 
+@plan_memo
 def complaint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complaint_lifecycle(complaint_raw(spark, sf_dir), EVENT_SLA_DAYS)
 
 
+@plan_memo
 def assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("household_id")
     return (table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("household_id"))
@@ -312,6 +331,7 @@ def assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (key % 20 == 1).alias("human_confirmed")))
 
 
+@plan_memo
 def account(spark: SparkSession, sf_dir: str) -> DataFrame:
     reasons = F.array(*[F.lit(r) for r in ("client_request", "cd_renewed", "conversion",
                                            "consolidation", "loan_paid_at_term",
@@ -326,6 +346,7 @@ def account(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .alias("close_reason")))
 
 
+@plan_memo
 def wealth_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     six = (monthly_all(spark, sf_dir).filter(F.col("month") == -6)
            .select("household_id", (F.col("deposit_avg_balance")
@@ -340,6 +361,7 @@ def wealth_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (value * (key % 5 + 8) / 8).alias("wealth_old")))
 
 
+@plan_memo
 def trust_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("household_id")
     kinds = F.filter(F.array(F.when(key % 12 == 0, F.lit("trustee_move")),
@@ -351,6 +373,7 @@ def trust_event(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("household_id", F.explode(kinds).alias("kind")))
 
 
+@plan_memo
 def banker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per banker with the departure day, if any, and whether cancellations are logged."""
     key = F.col("banker_id")
@@ -359,6 +382,7 @@ def banker(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (key % 5 < 2).alias("cancelled_by_captured")))
 
 
+@plan_memo
 def household_banker_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("household_id")
     return (table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("household_id"))
@@ -369,6 +393,7 @@ def household_banker_event(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(key % 31 == 0, (key % 45).cast("int")).alias("temporary_length")))
 
 
+@plan_memo
 def tradeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("household_id")
     return (table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("household_id"))
@@ -377,11 +402,13 @@ def tradeline(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (-(key % 240)).cast("int").alias("open_day")))
 
 
+@plan_memo
 def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("household_id"))
             .select("household_id", (F.col("household_id") % 20 != 0).alias("permissible_purpose")))
 
 
+@plan_memo
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long score table (household, model) with the label, a probability and the value at stake."""
     key = F.col("household_id")
