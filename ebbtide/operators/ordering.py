@@ -65,14 +65,14 @@ def row_ranks(df: DataFrame, value: str, tie: str, by: Sequence[str] = ()) -> Da
     by = list(by)
     rows = df.filter(F.col(value).isNotNull()).withColumn("_tie", order_block(F.col(tie)))
     cells = rows.groupBy(*by, value, "_tie").agg(F.count(F.lit(1)).alias("_n"))
-    totals = running_totals(cells, value, {"k": F.col("_n")}, by).drop("k")
+    totals = running_totals(cells, value, {"_k": F.col("_n")}, by).drop("_k")
     same_value = (Window.partitionBy(*by, value).orderBy("_tie")
                         .rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select(*by, value, "_tie",
                          F.coalesce(F.sum("_n").over(same_value), F.lit(0)).alias("_off"))
     offsets = cells.join(totals, [*by, value]).select(
-        *by, value, "_tie", (F.col("_off") + F.col("lt_k")).alias("_off"),
-        F.col("tot_k").alias("row_count"))
+        *by, value, "_tie", (F.col("_off") + F.col("lt__k")).alias("_off"),
+        F.col("tot__k").alias("row_count"))
     inside = Window.partitionBy(*by, value, "_tie").orderBy(tie)
     return (rows.join(offsets, [*by, value, "_tie"])
                 .withColumn("row_rank", F.col("_off") + F.row_number().over(inside))
@@ -89,30 +89,30 @@ def equal_freq_buckets(df: DataFrame, value: str, tie: str, buckets: int | Colum
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct (group, value) with the average rank shared by its ties."""
-    totals = running_totals(df, value, {"k": F.lit(1)}, by)
-    return totals.select(*by, value, "k",
-                         (F.col("lt_k") + (F.col("k") + 1) / 2).alias("avg_rank"),
-                         F.col("tot_k").alias("row_count"))
+    totals = running_totals(df, value, {"_k": F.lit(1)}, by)
+    return totals.select(*by, value, "_k",
+                         (F.col("lt__k") + (F.col("_k") + 1) / 2).alias("avg_rank"),
+                         F.col("tot__k").alias("row_count"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
                     by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles per group, exact at any group size."""
-    totals = running_totals(df, value, {"k": F.lit(1)}, by)
+    totals = running_totals(df, value, {"_k": F.lit(1)}, by)
     return _interpolate(totals, value, probs, by)
 
 
 def _interpolate(totals: DataFrame, value: str, probs: Mapping[str, float],
                  by: Sequence[str]) -> DataFrame:
     def at(position: Column) -> Column:
-        here = (F.col("lt_k") <= position) & (position < F.col("lt_k") + F.col("k"))
+        here = (F.col("lt__k") <= position) & (position < F.col("lt__k") + F.col("_k"))
         return F.max(F.when(here, F.col(value)))
 
     parts, outputs = [], []
     for name, p in probs.items():
-        position = (F.col("tot_k") - 1) * F.lit(float(p))
+        position = (F.col("tot__k") - 1) * F.lit(float(p))
         low = F.floor(position)
-        high = F.least(low + 1, F.col("tot_k") - 1)
+        high = F.least(low + 1, F.col("tot__k") - 1)
         parts += [at(low).alias(f"_lo_{name}"), at(high).alias(f"_hi_{name}"),
                   F.max(position - low).alias(f"_w_{name}")]
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")

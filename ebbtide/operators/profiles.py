@@ -153,10 +153,10 @@ def exact_duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def repeated_amounts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: values, distinct values and values that repeat an earlier one."""
     long = unpivot(df, [], columns).filter(F.col("value").isNotNull())
-    per_value = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("k"))
+    per_value = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("_k"))
     return per_value.groupBy("variable").agg(
-        F.sum("k").alias("rows"), F.count(F.lit(1)).alias("distinct_values"),
-        F.sum(F.col("k") - 1).alias("repeated"))
+        F.sum("_k").alias("rows"), F.count(F.lit(1)).alias("distinct_values"),
+        F.sum(F.col("_k") - 1).alias("repeated"))
 
 
 def flag_combinations(df: DataFrame) -> DataFrame:
@@ -208,12 +208,12 @@ def balanced_books(household: DataFrame, order: str, sizes: Mapping[str, int]) -
 
 def value_share(df: DataFrame, value: str, fraction: float) -> DataFrame:
     """Share of total value held by the top fraction of rows."""
-    totals = running_totals(df, value, {"k": F.lit(1)})
-    top = F.bround(F.col("tot_k") * fraction, 0)
-    above = F.col("tot_k") - F.col("lt_k") - F.col("k")
-    taken = F.greatest(F.lit(0), F.least(F.col("k"), top - above))
-    return totals.agg(F.sum("k").alias("households"), F.max(top).cast("long").alias("top_households"),
-                      (F.sum(taken * F.col(value)) / F.sum(F.col("k") * F.col(value)))
+    totals = running_totals(df, value, {"_k": F.lit(1)})
+    top = F.bround(F.col("tot__k") * fraction, 0)
+    above = F.col("tot__k") - F.col("lt__k") - F.col("_k")
+    taken = F.greatest(F.lit(0), F.least(F.col("_k"), top - above))
+    return totals.agg(F.sum("_k").alias("households"), F.max(top).cast("long").alias("top_households"),
+                      (F.sum(taken * F.col(value)) / F.sum(F.col("_k") * F.col(value)))
                       .alias("value_share"))
 
 

@@ -513,7 +513,7 @@ def seed_band_summary(spark, sf):
 @query("rank_average")
 def rank_average(spark, sf):
     return ordering.average_ranks(src.scores(spark, sf), "score", ["model"]).select(
-        "model", "score", F.col("k").alias("ties"), "avg_rank")
+        "model", "score", F.col("_k").alias("ties"), "avg_rank")
 
 
 @query("rank_first")
