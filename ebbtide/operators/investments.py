@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.contract import ACATS
 from ebbtide.functions.columns import cents, in_window, month_of, ratio_when_positive, sum_when
-from ebbtide.operators.balances import complete, complete_mean, mean_over, value_at, window_sum
+from ebbtide.operators.balances import complete, mean_over, value_at, window_sum
 from ebbtide.params import Params
 
 

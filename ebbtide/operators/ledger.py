@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.contract import AUM_EXTERNAL, DEPOSIT_STREAMS, FROM_DEPOSITS
-from ebbtide.functions.columns import is_true, month_of, sum_when
+from ebbtide.functions.columns import is_true, month_of
 from ebbtide.operators.accounts import open_day
 from ebbtide.operators.investments import monthly_category_sums
 from ebbtide.params import AVG_MONTH_DAYS, Params
@@ -89,9 +89,3 @@ def reconciles(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: st
     joined = left.select(*keys, a).join(right.select(*keys, b), keys)
     return joined.agg(F.count(F.lit(1)).alias("rows"),
                       F.max(F.abs(F.col(a) - F.col(b))).alias("max_gap"))
-
-
-def signed_flow(ledger: DataFrame) -> DataFrame:
-    return ledger.groupBy("household_id").agg(
-        sum_when(F.col("category") == "incoming", "amount").alias("incoming"),
-        sum_when(F.col("category") != "incoming", "amount").alias("outgoing"))

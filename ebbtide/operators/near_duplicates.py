@@ -23,17 +23,25 @@ def _cells(dims: Sequence[str], eps: float, neighbours: bool) -> Column:
     return cells
 
 
+def selective_dims(points: DataFrame, dims: Sequence[str], eps: float, count: int) -> list[str]:
+    """The dimensions that spread the points over most grid steps: one row of sketches."""
+    row = points.agg(*[F.approx_count_distinct(F.floor(F.col(d) / eps)).alias(d)
+                       for d in dims]).first()
+    return sorted(dims, key=lambda d: -row[d])[:count]
+
+
 def near_neighbours(points: DataFrame, key: str, dims: Sequence[str], flags: str,
                     eps: float, grid_dims: int = 4) -> DataFrame:
     """Each point's nearest distance below ``eps`` within its flag combination.
 
     Identical points are folded first, so a group of copies costs one row instead of all its
-    pairs; distinct points meet only in the same or an adjacent grid cell.
+    pairs; distinct points meet only in the same or an adjacent cell of a grid over the most
+    selective dimensions.
     """
     dims = list(dims)
     folded = points.groupBy(flags, *dims).agg(F.min(key).alias("_rep"),
                                              F.count(F.lit(1)).alias("_copies"))
-    grid = dims[:grid_dims]
+    grid = selective_dims(folded, dims, eps, grid_dims)
     left = folded.withColumn("_cell", F.element_at(_cells(grid, eps, False), 1))
     right = folded.select(flags, F.col("_rep").alias("_other"),
                           *[F.col(d).alias(f"o_{d}") for d in dims],

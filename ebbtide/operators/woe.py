@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import bucket_of_edges, equal_frequency_bucket, is_true
@@ -190,7 +190,3 @@ def select_by_correlation(values: Mapping[str, float], correlation, min_iv: floa
         if all(abs(correlation[name, other]) < max_corr for other in kept):
             kept.append(name)
     return kept
-
-
-def trend_direction(rule: str) -> Column:
-    return F.lit(-1 if rule.startswith("<") else 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.contract import (ALERT_GROUPS, EXCLUDED_PAYMENTS, EXCLUDED_PRODUCT_REASONS,
                               EXTERNAL_OUT, HOUSEHOLD_FLAGS, MONEY_COLUMNS)
-from ebbtide.functions.columns import (day_offset, equal_frequency_bucket, in_window, is_true,
+from ebbtide.functions.columns import (day_offset, in_window, is_true,
                                        month_of, routing_is_valid, safe_pct, text_rule)
 from ebbtide.operators import accounts, labels, ledger, near_duplicates, ordering, profiles
 from ebbtide.operators.transfers import semi_join_category

@@ -171,6 +171,21 @@ def combined_auc(spark, sf):
     return spark.createDataFrame([("soft_churn_3m", area)], "label string, auc double")
 
 
+@query("sort_by_abs")
+def sort_by_abs(spark, sf):
+    """Strongest rank correlations first."""
+    return spearman_matrix(spark, sf).filter(F.abs("rho") >= 0.01).orderBy(F.desc(F.abs("rho")))
+
+
+@query("calibration_run_gate")
+def calibration_run_gate(spark, sf):
+    """Calibration repeated per run; here the runs are the two halves of the split."""
+    rows = cut_lineage(stratified_split(frame(spark, sf), "hard_churn_6m", "household_id", P))
+    runs = [calibration.variable_calibration(rows.filter(F.col("split") == s), CALIBRATED,
+                                             "hard_churn_6m", P) for s in ("train", "test")]
+    return calibration.run_gate(runs[0].unionByName(runs[1]), CALIBRATED, P)
+
+
 @query("spearman_matrix")
 def spearman_matrix(spark, sf):
     h = src.household(spark, sf)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ebbtide.contract import BUSINESS_BANDS, MONEY_COLUMNS
 from ebbtide.functions import pvalues
 from ebbtide.operators import ordering, profiles, statistics as st
-from ebbtide.plans import features as plan
 from ebbtide.plans.registry import query
 from ebbtide.sources import adapters as src
 

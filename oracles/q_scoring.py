@@ -78,6 +78,10 @@ _SC = ["age_primary", "deposit_balance", "relationship_value", "tenure_years"]
 add("spearman_matrix", "left_column, right_column", "rho", " UNION ALL ".join(f"SELECT '{a}' AS left_column, '{b}' AS right_column, corr(r_{a}, r_{b}) AS rho FROM sranks"
     for i, a in enumerate(_SC) for b in _SC[i + 1:]), sranks="SELECT " + ", ".join(_RK(c) for c in _SC) + " FROM household")
 
+add("sort_by_abs", "left_column, right_column", "rho", "SELECT * FROM sp WHERE abs(rho) >= 0.01::DOUBLE", sp=" UNION ALL ".join(
+    f"SELECT '{a}' AS left_column, '{b}' AS right_column, corr(r_{a}, r_{b}) AS rho FROM sranks" for i, a in enumerate(_SC) for b in _SC[i + 1:]),
+    sranks="SELECT " + ", ".join(_RK(c) for c in _SC) + " FROM household")
+
 add("business_rules", "household_id", "rules_score", """SELECT c.household_id, CAST(coalesce(relationship_dissatisfaction_flag = 1, false) OR complaint_age_days > 30 OR contact_gap_ratio > 2 AS INTEGER)::DOUBLE AS rules_score
 FROM f_complaints c JOIN f_banker b ON c.household_id = b.household_id""")
 add("expert_scorecard", "household_id", "expert_score", """SELECT household_id, least(100, (CASE WHEN relationship_dissatisfaction_flag = 1 THEN 30 ELSE 0 END
