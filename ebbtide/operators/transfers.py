@@ -56,28 +56,32 @@ def average_balance(panel: DataFrame, household: DataFrame, cash_share: Column)
 
 
 def destination_flows(ledger: DataFrame, institutions: DataFrame, params: Params) -> DataFrame:
-    """One row per (household, institution, destination) with all window sums."""
-    kept = semi_join_category(ledger, [*EXTERNAL_OUT, INCOMING])
-    rows = kept.join(institutions.select("inst_id", "competitor_bank"), "inst_id", "left")
+    """One row per (household, institution, destination) with all window sums.
+
+    The ledger is folded before the institution join, so only the folded rows meet the dimension
+    and a popular institution does not pull ledger rows together.
+    """
+    rows = semi_join_category(ledger, [*EXTERNAL_OUT, INCOMING])
     out, wire = F.col("category") != INCOMING, ~F.col("category").isin(*ACATS, INCOMING)
-    competitor = out & F.coalesce(F.col("competitor_bank"), F.lit(False))
     lookback = params.lookback_new_destination_days
 
     def window(low: int, high: int = 0) -> Column:
         return in_window("day", low, high)
 
-    return rows.groupBy("household_id", "inst_id", "dest_id").agg(
+    folded = rows.groupBy("household_id", "inst_id", "dest_id").agg(
         *[sum_when(out & window(-w), "amount").alias(f"out_{w}") for w in (30, 60, 90)],
         sum_when(out & window(-60, -30), "amount").alias("out_30_60"),
         sum_when(out & window(-90, -60), "amount").alias("out_60_90"),
         sum_when(out & window(-210, -30), "amount").alias("out_30_210"),
-        sum_when(competitor & window(-90), "amount").alias("competitor_90"),
         *[(sum_when(~out & window(-w), "amount") - sum_when(wire & window(-w), "amount"))
           .alias(f"net_{w}") for w in (30, 90)],
         F.count_if(out & window(-90)).alias("sends_90"),
         F.count_if(out & window(-30)).alias("sends_30"),
         F.min(F.when(out, F.col("day"))).alias("first_day"),
         *[F.count_if(out & window(-w - lookback, -w)).alias(f"prior_{w}") for w in (30, 90)])
+    known = institutions.select("inst_id", "competitor_bank")
+    return folded.join(known, "inst_id", "left").withColumn(
+        "competitor_90", F.when(F.col("competitor_bank"), F.col("out_90")).otherwise(0.0))
 
 
 FLOW_SUMS = ["out_30", "out_60", "out_90", "out_30_60", "out_60_90", "out_30_210",
