@@ -627,8 +627,7 @@ def _identity(spark, sf):
                                   F.col("household_id") % 4 / 10 + 0.2)
 
 
-@query("ledger_identity", change=2, income=2, internal_in=2, internal_out=2, deposits_out=2, card=4,
-       incoming=3, other_debits=3)
+@query("ledger_identity", change=2, income=2, internal_in=2, internal_out=2, deposits_out=2)
 def ledger_identity(spark, sf):
     return _identity(spark, sf)
 

@@ -216,7 +216,7 @@ _ID = f"""SELECT *, greatest(res, 0) AS incoming, greatest(-res, 0) AS other_deb
   LEFT JOIN (SELECT household_id, CAST(ceil(day / 30.44::DOUBLE) AS INTEGER) AS month, sum(amount) AS inc FROM recurring_tx
     WHERE stream IN ('payroll','bonus','payroll_new','pension','pension_new','business_distribution') GROUP BY 1, 2) p ON m.household_id = p.household_id AND m.month = p.month
   WHERE m.month >= -17) a) b"""
-add("ledger_identity", "household_id, month, valid", {"change": 2, "income": 2, "internal_in": 2, "internal_out": 2, "deposits_out": 2, "card": 4, "incoming": 3, "other_debits": 3}, "SELECT * FROM idn", idn=_ID)
+add("ledger_identity", "household_id, month, valid", {"change": 2, "income": 2, "internal_in": 2, "internal_out": 2, "deposits_out": 2, "card": 6, "incoming": 6, "other_debits": 6}, "SELECT * FROM idn", idn=_ID)
 add("internal_flow_netting", "household_id, month", {"internal_in": 2}, "SELECT * FROM idn", idn=_ID)
 add("unexplained_share", "months", {"unexplained_share": 6, "max_gap": 3}, """SELECT count(*) AS months, avg(CAST(other_debits > 0 AS INTEGER)) AS unexplained_share,
   0.0 AS max_gap FROM idn WHERE valid""", idn=_ID)
