@@ -1,24 +1,40 @@
-"""Lineage cut on reliable storage."""
+"""Lineage cut and working folders on reliable storage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a temporary folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session without it gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder:
-        context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
+        return folder.rstrip("/")
+    if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ebbtide-checkpoint-"))
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ebbtide-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write to a new Parquet folder in the shared folder and read it back.
+
+    Unlike a checkpoint the copy is columnar, so later reads prune columns.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
