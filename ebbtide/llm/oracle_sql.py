@@ -17,3 +17,22 @@ WITH t AS (
 )
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
 """
+
+SQL["op6_warc"] = """
+WITH t AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+    SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+           array_to_string(list_transform(range(8), i -> list_aggregate(list_transform(range(4), j ->
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                      (('0x' || substr(hex, i * 5 + 1, 5))::INT >> (15 - 5 * j)) % 32 + 1, 1)),
+               'string_agg', '')), '') AS payload_digest
+    FROM t
+), f AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import byte_bpe, exact_dedup, mixing
+from ebbtide.llm import byte_bpe, exact_dedup, mixing, pii, warc
 from ebbtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,11 +17,24 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+                        pii.listed(F.concat("base", "added")).alias("spans"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return byte_bpe.encode_decode(
@@ -29,4 +42,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN, ["n_tokens", "ids_sha256", "decoded_sha256"], ["doc_id"])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op8_mixing, op10_byte_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op5_exact_dedup, op6_warc, op8_mixing, op9_pii, op10_byte_bpe)}
