@@ -23,7 +23,7 @@ WITH t AS (
     SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
 ), d AS (
     SELECT page_id, octet_length(encode(html)) AS payload_bytes,
-           array_to_string(list_transform(range(8), i -> list_aggregate(list_transform(range(4), j ->
+           array_to_string(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j:
                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                       (('0x' || substr(hex, i * 5 + 1, 5))::INT >> (15 - 5 * j)) % 32 + 1, 1)),
                'string_agg', '')), '') AS payload_digest
