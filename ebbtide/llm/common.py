@@ -30,9 +30,10 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Broadcast a stored table of narrow rows when its count is under the bound; else shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def if_small(df: DataFrame, counted: DataFrame | None = None, rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a table of narrow rows when it, or a stored table with at least as many rows, counts
+    under the bound; else leave the join to shuffle."""
+    return F.broadcast(df) if (df if counted is None else counted).count() <= rows else df
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text",

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import byte_bpe, exact_dedup, mixing, pii, warc
+from ebbtide.llm import byte_bpe, exact_dedup, jaccard_join, mixing, pii, warc
 from ebbtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -43,4 +48,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op5_exact_dedup, op6_warc, op8_mixing, op9_pii, op10_byte_bpe)}
+    op1_ngram_jaccard, op5_exact_dedup, op6_warc, op8_mixing, op9_pii, op10_byte_bpe)}
