@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
     """Slice Arrow batches so that the texts of one slice hold about ``block_bytes``."""
     for batch in batches:
         sizes = np.array([0 if n is None else n for n in
-                          pa.compute.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
+                          pc.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
