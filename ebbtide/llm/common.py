@@ -87,15 +87,35 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased) of a block of texts, and words per text."""
-    joined = b" ".join(texts) + b" "
-    raw = np.frombuffer(joined, dtype=np.uint8)
+def _kind_table(members: str) -> np.ndarray:
+    out = np.zeros(256, dtype=np.int64)
+    out[[ord(c) for c in members]] = 1
+    return out
+
+
+_KIND = {"upper": _kind_table(UPPER), "digit": _kind_table("0123456789"),
+         "symbol": _kind_table("#$%&*@^_=+<>{}[]|~/\\!"), "stop": _kind_table(".,;:?()'\"-"),
+         "high": (np.arange(256) >= 128).astype(np.int64)}
+
+
+def byte_kinds(name: str) -> np.ndarray:
+    """Table of the bytes of a kind."""
+    return _KIND[name]
+
+
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in the joined bytes of a block, and these bytes."""
+    raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     white = _IS_WHITE[raw]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     if not white[0]:
         edge = np.concatenate(([0], edge))
-    starts, ends = edge[0::2], edge[1::2]
+    return edge[0::2], edge[1::2], raw
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lower-cased) of a block of texts, and words per text."""
+    starts, ends, raw = word_spans(texts)
     values = _BYTE[_FOLD[raw]]
     values *= powers(_MUL, len(raw))
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
@@ -107,6 +127,35 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.concatenate(([0], bounds)))
 
 
+_IS_LETTER = np.zeros(256, dtype=bool)
+_IS_LETTER[[ord(c) for c in UPPER + LOWER]] = True
+_IS_LETTER[128:] = True
+
+
+def letter_runs(texts: list[bytes], stems: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all runs of letters (A-Z lower-cased, bytes over 127 are letters), then for each
+    length in ``stems`` of their first bytes (of shorter runs, of the whole run); runs per text."""
+    raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    letter = _IS_LETTER[raw]
+    edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    if letter[0]:
+        edge = np.concatenate(([0], edge))
+    starts, ends = edge[0::2], edge[1::2]
+    values = _BYTE[_FOLD[raw]]
+    values *= powers(_MUL, len(raw))
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(values, out=total[1:])
+    back = powers(_INV, len(raw))[starts]
+    words = mix64((total[ends] - total[starts]) * back + (ends - starts).astype(np.uint64))
+    out = [words]
+    for k, stem in enumerate(stems, 1):
+        cut = np.minimum(ends, starts + stem)
+        out.append(mix64((total[cut] - total[starts]) * back + np.uint64(k << 40)))
+    lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+    bounds = np.searchsorted(starts, np.cumsum(lengths))
+    return out, np.diff(np.concatenate(([0], bounds)))
+
+
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Per text the sorted distinct 64-bit fingerprints of its word shingles.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import byte_bpe, exact_dedup, jaccard_join, mixing, pii, warc
+from ebbtide.llm import byte_bpe, exact_dedup, jaccard_join, mixing, pii, quality, toxicity, warc
 from ebbtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,25 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+def _judged(scores: DataFrame, remainder: int, modulus: int) -> DataFrame:
+    return scores.select("doc_id", quality.held_out(remainder, modulus).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def good_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted good texts: the labelled ones that are not held out."""
+    return table(spark, sf_dir, "labels").filter("quality = 1").filter(~quality.held_out(0, 5))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(quality.scored(table(spark, sf_dir, "documents"), good_examples(spark, sf_dir)), 0, 5)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~quality.held_out(2, 4))
+    return _judged(toxicity.passages(table(spark, sf_dir, "documents"), labels), 2, 4)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -48,4 +67,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_ngram_jaccard, op5_exact_dedup, op6_warc, op8_mixing, op9_pii, op10_byte_bpe)}
+    op1_ngram_jaccard, op3_quality, op4_toxicity, op5_exact_dedup, op6_warc, op8_mixing, op9_pii,
+    op10_byte_bpe)}
