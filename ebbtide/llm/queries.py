@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import byte_bpe, exact_dedup, jaccard_join, mixing, pii, quality, toxicity, warc
+from ebbtide.llm import (
+    ann, byte_bpe, exact_dedup, jaccard_join, mixing, pii, quality, toxicity, url_filters, warc)
 from ebbtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,15 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+#: The rules of the URL query.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def _judged(scores: DataFrame, remainder: int, modulus: int) -> DataFrame:
     return scores.select("doc_id", quality.held_out(remainder, modulus).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -46,6 +56,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", "taken")
@@ -67,5 +81,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_ngram_jaccard, op3_quality, op4_toxicity, op5_exact_dedup, op6_warc, op8_mixing, op9_pii,
-    op10_byte_bpe)}
+    op1_ngram_jaccard, op2_url_filters, op3_quality, op4_toxicity, op5_exact_dedup, op6_warc, op7_nearest,
+    op8_mixing, op9_pii, op10_byte_bpe)}
