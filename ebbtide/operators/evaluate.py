@@ -30,8 +30,8 @@ def auc(totals: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def ks(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     """Largest distance of the two cumulative rates, ties taken together."""
-    pos = F.col("lt_pos") / F.col("tot_pos")
-    neg = (F.col("lt_n") - F.col("lt_pos")) / (F.col("tot_n") - F.col("tot_pos"))
+    pos = F.try_divide("lt_pos", "tot_pos")
+    neg = F.try_divide(F.col("lt_n") - F.col("lt_pos"), F.col("tot_n") - F.col("tot_pos"))
     return totals.groupBy(*by).agg(F.max(F.abs(pos - neg)).alias("ks"))
 
 
@@ -53,7 +53,7 @@ def top_list(scores: DataFrame, totals: DataFrame, by: Sequence[str], fraction:
     cut = full.filter((F.col("above") < F.col("size"))
                       & (F.col("above") + F.col("n") > F.col("size"))).select(
         *by, "score", (F.col("size") - F.col("above")).alias("places"))
-    tied = row_ranks(scores.join(F.broadcast(cut), [*by, "score"]), key, key, by)
+    tied = row_ranks(scores.join(cut, [*by, "score"]), key, key, by)
     extra = tied.filter(F.col("row_rank") <= F.col("places")).groupBy(*by).agg(
         F.sum("label").alias("extra_pos"), F.sum(F.col("value") * F.col("label")).alias("extra_lost"))
     joined = whole.join(extra, by, "left")

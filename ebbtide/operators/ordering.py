@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ebbtide.functions.columns import equal_frequency_bucket
 
 BLOCKS_PER_OCTAVE = 1024
-# Largest group, in rows, that `grouped_quantiles` hands to the in-memory `percentile` aggregate.
-IN_MEMORY_GROUP_ROWS = 1_000_000
 
 
 def order_block(value: Column) -> Column:
@@ -120,20 +118,11 @@ def _interpolate(totals: DataFrame, value: str, probs: Mapping[str, float],
     return totals.groupBy(*by).agg(*parts).select(*by, *outputs)
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the biggest group: one map-side combined count, used to pick a quantile plan."""
-    top = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
-
-
-def grouped_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str],
-                      biggest: int | None = None) -> DataFrame:
-    """Exact quantiles of many groups.
-
-    ``biggest`` is a checked bound on the group size.  Within the in-memory limit the `percentile`
-    aggregate is used; beyond it, or when the bound is unknown, the block plan.
-    """
-    if biggest is not None and biggest <= IN_MEMORY_GROUP_ROWS:
-        return df.groupBy(*by).agg(*[F.percentile(F.col(value), F.lit(float(p))).alias(name)
-                                     for name, p in probs.items()])
-    return exact_quantiles(df, value, probs, by)
+def exact_medians(df: DataFrame, value: str, name: str, by: Sequence[str]) -> DataFrame:
+    """Medians per group as half the sum of the two middle values, exact at any group size."""
+    totals = running_totals(df, value, {"_k": F.lit(1)}, by)
+    def at(position: Column) -> Column:
+        here = (F.col("lt__k") <= position) & (position < F.col("lt__k") + F.col("_k"))
+        return F.max(F.when(here, F.col(value)))
+    last = F.col("tot__k") - 1
+    return totals.groupBy(*by).agg(((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2.0).alias(name))

@@ -170,7 +170,7 @@ def book_quality(household: DataFrame, risk: Column) -> DataFrame:
     books = rows.groupBy("banker_id").agg(F.avg("risk").alias("book_risk"))
     mean = books.agg(F.avg("book_risk").alias("m")).scalar()
     spread = books.agg(F.stddev_samp("book_risk").alias("s")).scalar()
-    scored = books.select("banker_id", ((F.col("book_risk") - mean) / spread).alias("book_risk_z"))
+    scored = books.select("banker_id", F.try_divide(F.col("book_risk") - mean, spread).alias("book_risk_z"))
     return rows.join(scored, "banker_id").select("household_id", "banker_id", "book_risk_z")
 
 
@@ -180,8 +180,8 @@ def weighted_index(df: DataFrame, key: str, weights: Mapping[str, float],
     raw = reduce(lambda a, b: a + b, [F.col(c) * w for c, w in weights.items()]) + structural
     rows = df.select(key, raw.alias("raw_index"))
     stats = rows.agg(F.avg("raw_index").alias("m"), F.stddev_pop("raw_index").alias("s"))
-    return rows.select(key, ((F.col("raw_index") - stats.select("m").scalar())
-                             / stats.select("s").scalar()).alias("risk_index"))
+    return rows.select(key, F.try_divide(F.col("raw_index") - stats.select("m").scalar(),
+                                         stats.select("s").scalar()).alias("risk_index"))
 
 
 def primary_driver(contributions: Sequence[str]) -> Column:

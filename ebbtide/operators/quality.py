@@ -255,7 +255,8 @@ def dq_final_base(core: DataFrame) -> DataFrame:
 
 def check_frame(checks: DataFrame, tests: DataFrame, params: Params) -> DataFrame:
     """All checks in one frame; p-valued tests pass when their adjusted p exceeds alpha."""
-    adjusted = tests.join(bh_adjust(tests, "p_value", "check_name").drop("p_value"), "check_name")
+    keyed = tests.withColumn("test_key", F.to_json(F.struct("section", "check_name")))
+    adjusted = keyed.join(bh_adjust(keyed, "p_value", "test_key").drop("p_value"), "test_key")
     tested = adjusted.select("section", "check_name", F.lit(None).cast("bigint").alias("violations"),
                              (F.col("p_bh") > params.alpha).alias("ok"), "p_value", "p_bh")
     plain = checks.select("section", "check_name", "violations", "ok",

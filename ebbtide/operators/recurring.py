@@ -1,6 +1,7 @@
 """Recurring-stream detector and the stop variables (#3, #4, #5, #19, #20).
 
-Two plans give the same rows.  Households of ordinary size take the *array plan*: one shuffle by
+Two plans give the same rows: medians are half the sum of the two middle values and the spread of
+the gaps is a function of whole-number sums in both.  Households of ordinary size take the *array plan*: one shuffle by
 household, then every detector pass is array arithmetic on the payments of one stream.  Households
 whose payments exceed a checked limit take the *relational plan*: payments are folded to one row
 per distinct day before any ordering, so a stream that holds a third of the ledger has at most one
@@ -17,16 +18,14 @@ from pyspark.sql import functions as F
 from ebbtide.contract import BUSINESS_PAYROLL, STREAM_PRIORITY
 from ebbtide.functions.columns import flag_or_null, in_window, is_true, sum_when
 from ebbtide.operators.lineage import cut_lineage
-from ebbtide.operators.ordering import grouped_quantiles
+from ebbtide.operators.ordering import exact_medians
 from ebbtide.params import AVG_MONTH_DAYS, Params
 
 
-def drop_bonuses(payments: DataFrame, keys: Sequence[str], params: Params,
-                 biggest: int | None) -> DataFrame:
+def drop_bonuses(payments: DataFrame, keys: Sequence[str], params: Params) -> DataFrame:
     """Remove credits above the bonus multiple of their stream median where ``bonus_rule`` is set."""
     keys = list(keys)
-    medians = grouped_quantiles(payments.filter("bonus_rule"), "amount", {"_median": 0.5}, keys,
-                                biggest)
+    medians = exact_medians(payments.filter("bonus_rule"), "amount", "_median", keys)
     bonus = F.col("bonus_rule") & (F.col("amount") > F.col("_median") * params.bonus_multiple)
     return payments.join(medians, keys, "left").filter(~is_true(bonus)).drop("_median")
 
@@ -51,15 +50,22 @@ def gap_statistics(payments: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(size * size * times).alias("_s2"),
         F.percentile(size, F.lit(0.5), times).alias("interval"))
     mean = F.try_divide(F.col("_s1"), F.col("gap_count"))
-    variance = F.try_divide(F.col("_s2"), F.col("gap_count")) - mean * mean
     return stats.select(*keys, "payments", "gap_count", mean.alias("gap_mean"),
-                        F.when(F.col("gap_count") > 0, F.sqrt(F.greatest(variance, F.lit(0.0))))
-                         .alias("gap_std"),
+                        gap_variation(F.col("gap_count"), F.col("_s1"), F.col("_s2")).alias("gap_cv"),
+                        F.try_divide(F.sqrt(F.greatest(F.col("gap_count") * F.col("_s2") - F.col("_s1") * F.col("_s1"),
+                                                       F.lit(0.0))), F.col("gap_count")).alias("gap_std"),
                         F.when(F.col("gap_count") > 0, F.col("interval")).alias("interval"))
 
 
-def detect_recurring(payments: DataFrame, keys: Sequence[str], params: Params,
-                     biggest: int | None = None) -> DataFrame:
+def gap_variation(count: Column, total: Column, squares: Column) -> Column:
+    """Deviation over mean of whole-day gaps.
+
+    The sums are whole numbers, so they are exact in any order and both plans decide alike.
+    """
+    return F.try_divide(F.sqrt(F.greatest(count * squares - total * total, F.lit(0.0))), total)
+
+
+def detect_recurring(payments: DataFrame, keys: Sequence[str], params: Params) -> DataFrame:
     """Pattern per key over ``(end - length, end]``.
 
     ``payments`` carries day, amount, end, length and bonus_rule.  A pattern exists with enough
@@ -67,11 +73,10 @@ def detect_recurring(payments: DataFrame, keys: Sequence[str], params: Params,
     """
     keys = list(keys)
     inside = payments.filter(in_window("day", F.col("end") - F.col("length"), F.col("end")))
-    regular = drop_bonuses(inside, keys, params, biggest)
+    regular = drop_bonuses(inside, keys, params)
     gaps = gap_statistics(regular, keys)
-    medians = grouped_quantiles(regular, "amount", {"median_amount": 0.5}, keys, biggest)
-    variation = F.try_divide(F.col("gap_std"), F.col("gap_mean"))
-    found = (F.col("payments") >= params.min_occurrences) & is_true(variation < params.cv_max)
+    medians = exact_medians(regular, "amount", "median_amount", keys)
+    found = (F.col("payments") >= params.min_occurrences) & is_true(F.col("gap_cv") < params.cv_max)
     return gaps.join(medians, keys).select(
         *keys, "payments", found.alias("exists"), "interval", "median_amount")
 
@@ -218,9 +223,8 @@ def _pattern(end: Column, params: Params) -> Column:
 
     def decide(regular: Column, gaps: Column) -> Column:
         count, steps = F.size(regular), F.size(gaps)
-        mean = F.try_divide(F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g), steps)
-        spread = _let(mean, lambda m: F.try_divide(F.sqrt(F.aggregate(
-            gaps, F.lit(0.0), lambda acc, g: acc + (g - m) * (g - m)) / steps), m))
+        spread = gap_variation(steps, F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g),
+                               F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g))
         found = (count >= params.min_occurrences) & is_true(spread < params.cv_max)
         return F.struct(_array_median(gaps).alias("interval"),
                         _array_median(F.transform(regular, lambda p: p.amount))
@@ -342,7 +346,7 @@ def _relational_plan(ledger: DataFrame, events: DataFrame, params: Params) -> Da
     flows = stopped_streams(stream_weights(stops), events, replaced, params)
     for part in (events, replaced, flows, change_sums(ledger, stops, params)):
         wide = wide.join(part, "household_id", "left")
-    return wide.select(*DECISIONS)
+    return wide.withColumn("replaced", is_true(F.col("replaced"))).select(*DECISIONS)
 
 
 # Payments per household up to which one household fits comfortably in one row of arrays.

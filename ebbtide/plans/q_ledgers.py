@@ -495,7 +495,8 @@ def exact_duplicates(spark, sf):
 
 @query("repeated_amounts")
 def repeated_amounts(spark, sf):
-    return profiles.repeated_amounts(src.household(spark, sf), MONEY_COLUMNS[:3] + ["pension_monthly"])
+    return profiles.repeated_amounts(src.household(spark, sf), [
+        c for c in MONEY_COLUMNS if c != "recurring_income_monthly"])  # derived, not a column here
 
 
 @query("seed_band_summary", p10=4, p50=4, p90=4, low=4, high=4)
@@ -535,7 +536,7 @@ def cumcount(spark, sf):
 
 @query("partition_total", amount=2, key_sum=2, key_max=2)
 def partition_total(spark, sf):
-    rows = src.transfer(spark, sf).filter("day > -30").select("household_id", "day", "amount")
+    rows = src.transfer(spark, sf).select("household_id", "day", "amount")
     return profiles.partition_total(rows, "household_id", "amount")
 
 
@@ -544,9 +545,9 @@ def cumulative_sum(spark, sf):
     totals = ordering.running_totals(src.scores(spark, sf), "score",
                                      {"n": F.lit(1), "pos": F.col("label")}, ["model"])
     above_pos = F.col("tot_pos") - F.col("lt_pos")
-    return totals.select("model", "score", (above_pos / F.col("tot_pos")).alias("tpr"),
-                         ((F.col("tot_n") - F.col("lt_n") - above_pos)
-                          / (F.col("tot_n") - F.col("tot_pos"))).alias("fpr"))
+    return totals.select("model", "score", F.try_divide(above_pos, F.col("tot_pos")).alias("tpr"),
+                         F.try_divide(F.col("tot_n") - F.col("lt_n") - above_pos,
+                                      F.col("tot_n") - F.col("tot_pos")).alias("fpr"))
 
 
 @query("cumulative_product_index")
@@ -579,7 +580,7 @@ def first_crossing(spark, sf):
 
 @query("stable_sort", amount=2)
 def stable_sort(spark, sf):
-    return src.transfer(spark, sf).filter("day > -10").select(
+    return src.transfer(spark, sf).select(
         "household_id", "day", "category", "amount", "inst_id").orderBy(
         "household_id", "day", "category", "amount", "inst_id")
 

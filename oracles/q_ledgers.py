@@ -171,7 +171,7 @@ add("value_counts", "close_reason, n", "share", "SELECT close_reason, count(*) A
 SQL["collect_set_agg"] = build("SELECT household_id, string_agg(product, ',' ORDER BY product) AS products FROM (SELECT DISTINCT household_id, product FROM account) q GROUP BY 1")
 SQL["exact_duplicates"] = build("SELECT household_id, date, kind, count(*) AS copies FROM interaction GROUP BY 1, 2, 3 HAVING count(*) > 1")
 SQL["repeated_amounts"] = build(" UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS rows, count(DISTINCT {c}) AS distinct_values, count({c}) - count(DISTINCT {c}) AS repeated FROM household"
-                                                    for c in ("relationship_value", "deposit_balance", "aum", "pension_monthly")))
+                                                    for c in ("relationship_value", "deposit_balance", "aum", "salary_base_annual", "bonus_annual", "pension_monthly", "dividend_annual", "business_distribution_annual")))
 add("seed_band_summary", "variable", {"p10": 4, "p50": 4, "p90": 4, "low": 4, "high": 4}, """SELECT variable, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90,
   min(v) AS low, max(v) AS high FROM (SELECT 'deposit' AS variable, avg(deposit_avg_balance) AS v FROM monthly GROUP BY month UNION ALL
   SELECT 'aum', avg(aum_month_end) FROM monthly GROUP BY month) q GROUP BY 1""")
@@ -183,7 +183,7 @@ add("equal_freq_bucket", "household_id, model, bucket", "score", f"""SELECT hous
   row_number() OVER (PARTITION BY model ORDER BY score, household_id) AS rn, count(*) OVER (PARTITION BY model) AS n FROM scores) q""")
 SQL["cumcount"] = build("SELECT account_id, CAST(row_number() OVER (PARTITION BY household_id, product ORDER BY account_id) - 1 AS INTEGER) AS account_n FROM account")
 add("partition_total", "household_id, day, key_size", {"amount": 2, "key_sum": 2, "key_max": 2}, """SELECT household_id, day, amount, sum(amount) OVER w AS key_sum,
-  count(*) OVER w AS key_size, max(amount) OVER w AS key_max FROM transfer WHERE day > -30 WINDOW w AS (PARTITION BY household_id)""")
+  count(*) OVER w AS key_size, max(amount) OVER w AS key_max FROM transfer WINDOW w AS (PARTITION BY household_id)""")
 add("cumulative_sum", "model", "score tpr fpr", """SELECT DISTINCT model, score, sum(label) OVER w / sum(label) OVER (PARTITION BY model) AS tpr,
   sum(1 - label) OVER w / sum(1 - label) OVER (PARTITION BY model) AS fpr FROM scores WINDOW w AS (PARTITION BY model ORDER BY score DESC RANGE UNBOUNDED PRECEDING)""")
 add("cumulative_product_index", "household_id, month", "index_value", """SELECT household_id, month, exp(sum(ln(1 + portfolio_return)) OVER
@@ -193,7 +193,7 @@ add("previous_value", "household_id, month", {"previous": 2}, "SELECT household_
 SQL["balanced_books"] = build(" UNION ALL ".join(f"""SELECT household_id, segment, CAST(ntile((SELECT CAST(greatest(1, round_even(count(*) / {k}.0::DOUBLE, 0)) AS BIGINT) FROM household WHERE segment = '{s}'))
   OVER (ORDER BY tenure_years, household_id) - 1 AS INTEGER) AS book FROM household WHERE segment = '{s}'""" for s, k in (("HNW", 60), ("UHNW", 25))))
 SQL["first_crossing"] = build("SELECT household_id, min(month) FILTER (WHERE deposit_avg_balance < 10000) AS first_low_month FROM monthly GROUP BY 1")
-add("stable_sort", "household_id, day, category, inst_id", {"amount": 2}, "SELECT * FROM transfer WHERE day > -10")
+add("stable_sort", "household_id, day, category, inst_id", {"amount": 2}, "SELECT household_id, day, category, amount, inst_id FROM transfer")
 add("head_n", "inst_id", {"total": 2}, "SELECT inst_id, sum(amount) AS total FROM transfer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 SQL["union_all"] = build("""SELECT log, count(*) AS rows, min(day) AS first_day FROM (SELECT day, 'interaction' AS log FROM interaction UNION ALL
   SELECT open_day, 'complaint' FROM complaint UNION ALL SELECT day, 'transfer' FROM transfer) q GROUP BY 1""")

@@ -35,15 +35,15 @@ def test_row_ranks_break_ties_by_key(frame):
     assert (got.groupby("g").row_rank.max() == pdf.groupby("g").size()).all()
 
 
-@pytest.mark.parametrize("limit", [0, 10 ** 6])
-def test_quantiles_equal_numpy_in_both_plans(frame, monkeypatch, limit):
+def test_quantiles_and_medians_equal_numpy(frame):
     pdf, df = frame
-    monkeypatch.setattr(o, "IN_MEMORY_GROUP_ROWS", limit)
     probs = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.975, "e": 1.0}
-    got = o.grouped_quantiles(df, "value", probs, ["g"], biggest=5000).toPandas().set_index("g")
+    got = o.exact_quantiles(df, "value", probs, ["g"]).toPandas().set_index("g")
+    middle = o.exact_medians(df, "value", "m", ["g"]).toPandas().set_index("g")
     for g, grp in pdf.groupby("g"):
         np.testing.assert_allclose(got.loc[g, list(probs)].to_numpy(float),
                                    np.quantile(grp.value, list(probs.values())), atol=1e-9)
+        assert middle.loc[g, "m"] == np.median(grp.value)
 
 
 def test_average_ranks_equal_pandas(frame):

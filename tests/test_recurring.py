@@ -55,3 +55,16 @@ def test_array_and_relational_plans_agree(spark, limit):
     usual = key(r.recurring_variables(*args).collect())
     split = key(r.recurring_variables(*args, limit=limit).collect())
     assert usual == split
+
+
+def test_both_plans_decide_alike_at_the_bonus_limit(spark):
+    """Medians at half a cent and spreads at the limit must not depend on the plan."""
+    amounts = [37.08, 37.08, 226.03, 37.08, 188.95, 188.95]
+    ledger = spark.createDataFrame(
+        [(1, "payroll", -170 + 20 * i, a) for i, a in enumerate(amounts)],
+        "household_id long, stream string, day int, amount double")
+    events = spark.createDataFrame([(1, False, False, False, False)], "household_id long, "
+                                   "retire_reported boolean, leave_reported boolean, "
+                                   "death_reported boolean, business_sale boolean")
+    rows = [r.recurring_decisions(ledger, events, Params(), limit).first() for limit in (1000, 1)]
+    assert rows[0].asDict() == rows[1].asDict()

@@ -138,3 +138,18 @@ def test_near_duplicates_with_copies_and_negative_cells(spark):
     want = {i: near[i] for i in range(len(pts)) if near[i] < 0.05}
     assert dict(zip(got.id, got.nearest)).keys() == want.keys()
     np.testing.assert_allclose([want[i] for i in got.id], got.nearest, atol=1e-12)
+
+
+def test_evaluation_and_moments_of_tiny_groups(spark):
+    """One class, two or three rows, a constant column: NULL, never an error."""
+    from ebbtide.operators import evaluate, statistics
+    scores = spark.createDataFrame([("a", i, 0.1 * i, 0, 1.0, 0.2) for i in range(4)] + [("b", 9, 0.5, 1, 1.0, 0.4)],
+                                   "model string, household_id long, score double, label int, value double, prob double")
+    assert {r.model: r.ks for r in evaluate.model_comparison(scores).collect()} == {"a": None, "b": None}
+    tiny = spark.createDataFrame([("two", 1.0), ("two", 2.0), ("three", 1.0), ("three", 2.0), ("three", 4.0),
+                                  ("same", 3.0), ("same", 3.0), ("same", 3.0), ("same", 3.0), ("same", 3.0)], "g string, x double")
+    assert statistics.moments(tiny, "x", ["g"]).count() == 3
+    assert statistics.l_moments(tiny, "x", ["g"]).count() == 3
+    assert statistics.hill_alpha(tiny, "x", ["g"]).count() == 3
+    line = spark.createDataFrame([(i, float(i), 2.0 * i) for i in range(6)], "k long, a double, b double")
+    assert statistics.spearman_test(line, [("a", "b")], "k").first().rho == 1.0
