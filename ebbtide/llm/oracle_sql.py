@@ -36,3 +36,30 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+# Links of all pairs that share a shingle, then the least document that each one reaches.
+SQL["op1_ngram_jaccard"] = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words
+    FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(len(words) - 4), lambda i: array_to_string(words[i + 1:i + 5], ' '))) END AS shingles
+    FROM w
+), sized AS (SELECT doc_id, len(shingles) AS n FROM s),
+e AS (SELECT doc_id, hash(unnest(shingles)) AS h FROM s),
+pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT x, y FROM pairs JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y
+    WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+), both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (
+    SELECT doc_id, doc_id AS other FROM s
+    UNION
+    SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON b.x = r.other
+)
+SELECT sized.doc_id, n::BIGINT AS n_shingles, c.component_id
+FROM sized JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c ON c.doc_id = sized.doc_id
+"""

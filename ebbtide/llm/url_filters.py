@@ -5,8 +5,9 @@ Per host the paths form a tree, built level by level on distinct paths with thei
 
 * a segment that few of its siblings' URLs have is variable and becomes ``*``;
 * among the segments that stay, those whose share of blocked URLs does not differ from that of all
-  labelled siblings (a normal test) are statistically similar and merge into ``~``; the different and
-  the unlabelled ones keep their names;
+  labelled siblings (a normal test) are statistically similar and merge into ``~``; those that differ
+  to one side and not from each other merge into ``~block`` or ``~allow``; the rest, and the unlabelled
+  ones, keep their names;
 * paths deeper than ``MAX_DEPTH`` end in ``**``, whatever follows.
 
 A template is rejected when its smoothed labelled purity, (blocked + 1) / (labelled + 2), reaches
@@ -54,12 +55,27 @@ def rule_verdict(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if rule is None else (rule, verdict)
 
 
+def _difference(child: DataFrame, side: Column) -> DataFrame:
+    """Branches with ``far``: 0, or the sign, if the blocked share differs from the pool of labelled
+    siblings of the same side."""
+    child = child.withColumn("side", F.coalesce(side, F.lit(0.0)).cast("double"))
+    pool = child.groupBy("host", "prefix", "side").agg(
+        F.sum(F.when(F.col("judged"), F.col("blocked"))).alias("pool_blocked"),
+        F.sum(F.when(F.col("judged"), F.col("labelled"))).alias("pool"), F.count_if("judged").alias("branches"))
+    p = F.try_divide(F.col("pool_blocked"), F.col("pool"))
+    # The spread never falls to nothing, so equal branches are always similar.
+    spread = F.sqrt(F.try_divide(p * (1 - p) + F.lit(1e-9), F.col("labelled")))
+    gap = F.try_divide(F.col("blocked"), F.col("labelled")) - p
+    far = F.when(F.col("judged") & (F.abs(gap) > DIFFERENT * spread), F.signum(gap)).otherwise(F.lit(0.0))
+    return child.join(pool, ["host", "prefix", "side"]).withColumn("far", far)
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """(host, path, template) of distinct paths (host, path, n, blocked, allowed)."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rest = F.when(F.size(segments) > MAX_DEPTH, F.concat(F.slice(segments, 1, MAX_DEPTH), F.array(F.lit("**")))).otherwise(segments)
     rows = stored(paths.select("host", "path", "n", "blocked", "allowed", rest.alias("rest"), F.lit("").alias("prefix")))
-    for level in range(MAX_DEPTH):
+    for level in range(MAX_DEPTH + 1):
         open_rows = rows.filter(F.size("rest") > level).withColumn("segment", F.get("rest", F.lit(level)))
         if open_rows.isEmpty():
             break
@@ -69,16 +85,14 @@ def templates(paths: DataFrame) -> DataFrame:
         child = child.withColumn("stays", (F.col("segment") == "**") | (F.col("n") >= LEAST_URLS) & (F.col("n") >= LEAST_SHARE * F.col("all")))
         labelled = F.col("blocked") + F.col("allowed")
         judged = F.col("stays") & (labelled >= LEAST_LABELS)
-        pool = child.groupBy("host", "prefix").agg(F.sum(F.when(judged, F.col("blocked"))).alias("pool_blocked"),
-                                                   F.sum(F.when(judged, labelled)).alias("pool"),
-                                                   F.count_if(judged).alias("branches"))
-        child = child.join(pool, ["host", "prefix"])
-        p = F.try_divide(F.col("pool_blocked"), F.col("pool"))
-        # The spread never falls to nothing, so equal branches are always similar.
-        spread = F.sqrt((p * (1 - p) + F.lit(1e-9)) / labelled)
-        far = F.abs(F.try_divide(F.col("blocked"), labelled) - p) > DIFFERENT * spread
-        alike = judged & (F.col("branches") > 1) & ~F.coalesce(far, F.lit(True))
-        name = F.when(~F.col("stays"), "*").when(alike & (F.col("segment") != "**"), "~").otherwise(F.col("segment"))
+        child = child.withColumn("labelled", labelled).withColumn("judged", judged)
+        # First against all labelled siblings, then against those that differ to the same side.
+        first = _difference(child, F.lit(0))
+        second = _difference(first.drop("pool", "pool_blocked", "branches"), F.signum("far"))
+        alike = F.col("judged") & (F.col("branches") > 1) & (F.col("far") == 0)
+        mark = F.when(F.col("side") > 0, "~block").when(F.col("side") < 0, "~allow").otherwise("~")
+        child = second
+        name = F.when(~F.col("stays"), "*").when(alike & (F.col("segment") != "**"), mark).otherwise(F.col("segment"))
         named = stored(child.select(F.col("host").alias("h"), F.col("prefix").alias("p"), F.col("segment").alias("s"), name.alias("as")))
         done = rows.filter(F.size("rest") <= level)
         moved = (open_rows.join(named, (F.col("host") == F.col("h")) & (F.col("prefix") == F.col("p")) & (F.col("segment") == F.col("s")))
