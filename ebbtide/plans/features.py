@@ -24,7 +24,6 @@ def balances(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFram
     return balance_variables(src.monthly(spark, sf), src.household(spark, sf), params)
 
 
-@plan_memo
 def recurring_flows(spark: SparkSession, sf: str, params: Params = EVENT_PARAMS) -> DataFrame:
     return recurring.recurring_variables(src.recurring_tx(spark, sf),
                                          src.recurring_event(spark, sf),
@@ -98,7 +97,6 @@ def bureau(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFrame:
                                         src.household(spark, sf), params)
 
 
-@plan_memo
 def seven_groups(spark: SparkSession, sf: str) -> DataFrame:
     household = src.household(spark, sf).select("household_id")
     return composite.join_features(household, [
@@ -106,12 +104,10 @@ def seven_groups(spark: SparkSession, sf: str) -> DataFrame:
         banker(spark, sf), complaints(spark, sf)])
 
 
-@plan_memo
 def composite_features(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFrame:
     return composite.composite_variables(seven_groups(spark, sf), params)
 
 
-@plan_memo
 def full_base(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFrame:
     """Household attributes, all feature tables, the composite and the bureau variable."""
     groups = seven_groups(spark, sf)
@@ -126,7 +122,6 @@ def full_base(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFra
         "multi_signal_flag", (count >= params.multi_signal_min_groups).cast("int"))
 
 
-@plan_memo
 def core_base(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFrame:
     full = full_base(spark, sf, params)
     extras = tuple(c for c in full.columns if c.startswith("group_alert_"))

@@ -284,7 +284,7 @@ def model_comparison(spark, sf):
 
 @query("paired_bootstrap")
 def paired_bootstrap(spark, sf):
-    metrics = evaluate.bootstrap_metrics(src.scores(spark, sf), 20, 11)
+    metrics = evaluate.bootstrap_metrics(src.scores(spark, sf), 200, 11)
     return evaluate.bootstrap_intervals(metrics, "statistical")
 
 

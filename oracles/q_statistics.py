@@ -79,4 +79,4 @@ _T = "SELECT banker_id, round(avg(CAST(has_trust AS INTEGER)) / 10, 4) AS p_valu
 _BH = """SELECT banker_id, p_value, least(1, min(p_value * n / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh FROM (
   SELECT *, row_number() OVER (ORDER BY p_value, banker_id) AS i, count(*) OVER () AS n FROM {}) q"""
 add("bh_adjust", "banker_id", "p_value p_bh", _BH.format("tests"), tests=_T)
-add("cummin_reverse_bh", "banker_id", "p_value p_bh", _BH.format("tests2"), tests=_T, tests2="SELECT * FROM tests WHERE p_value < 0.035::DOUBLE")
+add("cummin_reverse_bh", "banker_id", "p_value p_bh", _BH.format("tests2"), tests=_T, tests2="SELECT * FROM tests")
