@@ -15,7 +15,18 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a task works on at once; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 400_000
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ``BATCH_ROWS`` texts where the session has Spark's default.
+
+    A default batch of long texts takes tens of MB in the JVM and as much in each Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,11 +89,11 @@ _POWER_CACHE: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """First n powers modulo 2^64; the longest table is kept up to eight million entries."""
+    """First n powers modulo 2^64; the longest table is kept up to a million entries."""
     have = _POWER_CACHE.get(base)
     if have is None or len(have) < n:
         have = _powers(base, max(n, 1 << 16))
-        if n <= 8_000_000:
+        if n <= 1_000_000:
             _POWER_CACHE[base] = have
     return have[:n]
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import byte_kinds, if_small, plain_bytes, text_blocks, text_of, word_hashes, word_spans
+from ebbtide.llm.common import byte_kinds, if_small, plain_bytes, small_batches, text_blocks, text_of, word_hashes, word_spans
 from ebbtide.operators.lineage import stored
 
 WINDOW = 40
@@ -211,6 +211,7 @@ def scored(docs: DataFrame, positives: DataFrame) -> DataFrame:
     """
     base = docs.select(F.monotonically_increasing_id().alias("__place"), F.col("doc_id").cast("long").alias("__id"),
                        text_of().alias("__text"))
+    small_batches(docs.sparkSession)
     # Least hashes first keeps the same sample at any order of rows; its size is the documented bound.
     chosen = (positives.select(F.col("doc_id").cast("long").alias("__pos")).filter("__pos is not null").distinct()
               .orderBy(F.xxhash64("__pos"), "__pos").limit(MAX_POSITIVES))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import letter_runs, mix64, plain_bytes, shingle_sets, text_blocks, text_of
+from ebbtide.llm.common import letter_runs, mix64, plain_bytes, shingle_sets, small_batches, text_blocks, text_of
 from ebbtide.operators.lineage import stored
 
 MAX_LABELLED = 200_000
@@ -234,6 +234,7 @@ def passages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``passages`` are the significant segments: first and last token, score and E-value.
     """
+    small_batches(docs.sparkSession)
     some = (labels.select(F.col("doc_id").cast("long").alias("__known"), F.col("toxic").cast("int").alias("__label"))
             .filter("__known is not null and __label in (0, 1)").groupBy("__known").agg(F.max("__label").alias("__label"))
             .orderBy(F.xxhash64("__known"), "__known").limit(MAX_LABELLED))

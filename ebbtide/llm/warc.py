@@ -29,6 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm.common import small_batches
 from ebbtide.operators.lineage import shared_folder, stored
 
 #: Bytes of a file after which a task starts the next one.
@@ -238,6 +239,7 @@ def _lines(stream) -> Iterator[bytes]:
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write ``pages`` as archives, normalise them and read every record back."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     system, root = _open(folder)
     system.create_dir(root, recursive=True)
