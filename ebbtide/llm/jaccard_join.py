@@ -12,8 +12,8 @@ skips of set relations:
   for partners in other components.
 
 Tokens are ordered by frequency class, then by value.  Classes come from counts over all documents:
-tokens in more than ``COMMON`` prefixes move behind all others, the prefixes they leave are counted
-again, and the most frequent ones are broadcast up to a fixed number.  Any order gives the same
+tokens in more than ``COMMON`` prefixes move behind all others, the tokens that come up for them are
+counted in turn, and the most frequent ones are broadcast up to a fixed number.  Any order gives the same
 result; a good one keeps lists short.
 
 Candidates are verified on whole texts.  A hub's partners are split over tasks, each with a copy of
@@ -35,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import if_small, plain_bytes, shingle_sets, text_blocks, text_of
+from ebbtide.llm.common import if_small, plain_bytes, shingle_sets, small_batches, text_blocks, text_of
 from ebbtide.llm.components import components
 from ebbtide.operators.lineage import stored
 
-#: Prefixes that a token may lie in before it moves behind the rarer ones; counting rounds.
-COMMON, ROUNDS = 8, 2
+#: Prefixes that a token may lie in before it moves behind the rarer ones.
+COMMON = 8
+#: A set with this share of common tokens in its first prefix has all its tokens counted.
+WHOLE_SHARE = 0.25
 #: Tokens that are broadcast at most (12 bytes each): the most frequent ones.
 BROADCAST_TOKENS = 4_000_000
 #: Entries of a list whose pairs are all compared at once; longer lists go by their central set.
@@ -53,15 +55,20 @@ def _needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
+def _classes(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Frequency class of each token, 0 if it is not common."""
+    known, classes = common
+    if not len(known):
+        return np.zeros(len(tokens), dtype=np.int8)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, classes[at], 0)
+
+
 def _prefix(tokens: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first tokens, by class and value, of which two linked sets share at least one."""
     n = len(tokens)
     length = n - _needed(n, percent) + 1 if n else 0
-    known, classes = common
-    if not len(known) or not n:
-        return tokens[:length]
-    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-    kind = np.where(known[at] == tokens, classes[at], 0)
+    kind = _classes(tokens, common)
     if not kind.any():
         return tokens[:length]
     return tokens[np.lexsort((tokens, kind))[:length]]
@@ -79,18 +86,24 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "__place long, __id long, n long, digest binary")
 
 
-def _counted(docs: DataFrame, width: int, percent: int, now, before) -> DataFrame:
-    """Tokens of the prefixes under order ``now`` that were not in those under ``before``."""
+def _counted(docs: DataFrame, width: int, percent: int, first) -> DataFrame:
+    """(token, df) of the first prefixes, or, with the common tokens of those, of what comes next.
+
+    Next come the tokens that move up when common ones move behind; of a set that is largely common
+    (a near copy of many) all tokens, since any of them may be common too.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8))
         for block in text_blocks(batches, "__text"):
             found = []
             for s in shingle_sets(plain_bytes(block.column("__text")), width):
-                prefix = _prefix(s, percent, now.value)
-                if before is not None:
-                    old = _prefix(s, percent, before.value)
-                    if len(old) == len(prefix) and (old == prefix).all():
+                prefix = _prefix(s, percent, none)
+                if first is not None:
+                    common = _classes(prefix, first.value) > 0
+                    if not common.any():
                         continue
-                    prefix = np.setdiff1d(prefix, old, assume_unique=True)
+                    more = s if common.mean() >= WHOLE_SHARE else _prefix(s, percent, first.value)
+                    prefix = np.setdiff1d(more, prefix, assume_unique=True)
                 found.append(prefix)
             joined = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
             yield pa.record_batch([pa.array(joined.view(np.int64))], names=["token"])
@@ -99,21 +112,19 @@ def _counted(docs: DataFrame, width: int, percent: int, now, before) -> DataFram
 
 def common_tokens(docs: DataFrame, width: int, percent: int):
     """Broadcast (sorted tokens, frequency classes) of the tokens that many prefixes hold."""
-    spark = docs.sparkSession
-    none = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8))
-    now, before, held = spark.sparkContext.broadcast(none), None, None
-    for _ in range(ROUNDS):
-        many = stored(_counted(docs, width, percent, now, before).filter(F.col("df") > COMMON))
-        held = many if held is None else stored(held.union(many).groupBy("token").agg(F.max("df").alias("df")))
+    def sent(held: DataFrame):
         least = COMMON
         while held.filter(F.col("df") > least).count() > BROADCAST_TOKENS:
             least *= 2
         rows = held.filter(F.col("df") > least).toPandas()
         tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(tokens)
-        classes = np.floor(np.log2(rows["df"].to_numpy(np.float64)[order])).astype(np.int8) if len(rows) else none[1]
-        before, now = now, spark.sparkContext.broadcast((tokens[order], classes))
-    return now
+        classes = np.floor(np.log2(np.maximum(rows["df"].to_numpy(np.float64)[order], 1))).astype(np.int8)
+        return docs.sparkSession.sparkContext.broadcast((tokens[order], classes))
+
+    many = stored(_counted(docs, width, percent, None).filter(F.col("df") > COMMON))
+    more = stored(_counted(docs, width, percent, sent(many)).filter(F.col("df") > COMMON))
+    return sent(stored(many.union(more).groupBy("token").agg(F.max("df").alias("df"))))
 
 
 def _entries(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
@@ -188,6 +199,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     ``__place`` is the document's place in the stored table ``docs`` and ``__root`` the least place
     of its component.
     """
+    small_batches(docs.sparkSession)
     placed = docs.select(F.monotonically_increasing_id().alias("__place"), F.col("doc_id").cast("long").alias("__id"),
                          text_of().alias("__text"))
     sets = stored(_sets(placed, width))
@@ -200,17 +212,17 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
 
     common = common_tokens(single, width, percent)
     entries = stored(_entries(single, width, percent, common))
-    lists = stored(entries.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("pos", "n", "__place")).alias("mid"))
-                   .filter("size > 1"))
-    entries = stored(entries.join(lists.select("token", "size"), "token").withColumn("block", _block(F.col("pos"))))
+    lists = stored(entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"))
+    # The lists hold one row for each token, spread by its hash: small hash tables, and no sort of the entries.
+    entries = stored(entries.join(lists.hint("shuffle_hash"), "token").withColumn("block", _block(F.col("pos"))))
 
     short = entries.filter(F.col("size") <= SHORT_LIST)
     x, y = short, short.select(*[F.col(c).alias(c) for c in short.columns])
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     pairs = _probe(x, y, percent, x["__place"] < y["__place"]).select(*ordered(x["__place"], y["__place"]))
     long = entries.filter(F.col("size") > SHORT_LIST)
-    mids = lists.filter(F.col("size") > SHORT_LIST).select(
-        F.col("token").alias("t"), F.col("mid.pos").alias("pos"), F.col("mid.n").alias("n"), F.col("mid.__place").alias("__place"))
+    mids = stored(long.groupBy("token").agg(F.min(F.struct("pos", "n", "__place")).alias("mid"))
+                  .select(F.col("token").alias("t"), "mid.pos", "mid.n", "mid.__place"))
     star = (long.join(mids, (long["token"] == mids["t"]) & (long["__place"] != mids["__place"]) & _may_link(long, mids, percent))
             .select(mids["__place"].alias("a"), long["__place"].alias("b")))
     # A pair found from both ends is verified once.
@@ -221,11 +233,14 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     more = more.distinct().join(tried.distinct(), ["a", "b"], "left_anti")
     links = links.union(verified(more, placed, width, percent)).union(folded.select(F.col("first").alias("a"), F.col("__place").alias("b")))
     roots = components(stored(links))
-    rooted = sets.join(roots, sets["__place"] == roots["node"], "left").select(
-        "__place", "__id", "n", F.coalesce("comp", "__place").alias("__root"))
-    names = rooted.groupBy("__root").agg(F.min("__id").alias("component_id"))
-    return (rooted.join(names, "__root")
-            .select("__place", F.col("__id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "__root"))
+    rooted = stored(sets.join(roots, sets["__place"] == roots["node"], "left").select(
+        "__place", "__id", "n", F.col("comp").alias("__root")))
+    # Only linked documents need a name other than their own id; a large component's rows can be split.
+    linked = rooted.filter("__root is not null")
+    names = stored(linked.groupBy("__root").agg(F.min("__id").alias("name")))
+    out = ("__place", F.col("__id").alias("doc_id"), F.col("n").alias("n_shingles"))
+    return (linked.join(names, "__root").select(*out, F.col("name").alias("component_id"), "__root")
+            .union(rooted.filter("__root is null").select(*out, F.col("__id"), F.col("__place"))))
 
 
 def _once(pairs: DataFrame) -> DataFrame:
