@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import WHITE, if_small, text_of
+from ebbtide.llm.common import WHITE, if_small, small_batches, text_blocks, text_of
 from ebbtide.operators.lineage import shared_folder, stored
 
-#: Distinct keys that a bucket may hold before it splits.
-BUCKET_KEYS = 20_000
+#: Distinct keys that a bucket may hold before it splits: a share of all keys within these limits.
+LEAST_KEYS, MOST_KEYS, BUCKETS = 1_500, 100_000, 64
 #: Bytes of texts that a task keeps for folding copies; rows beyond it travel as carriers.
-FOLD_BYTES = 64_000_000
+FOLD_BYTES = 24_000_000
 NULL_ID = 2 ** 63 - 1
 
 
@@ -71,7 +71,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (row, pa.int64()), (ident, pa.int64()), (chars, pa.int64()), (digest, pa.binary()),
             (key, pa.int64()), (n, pa.int64()), (body, pa.binary()))], names=FOLDED_NAMES)
 
-    for batch in batches:
+    for batch in text_blocks(batches, "__text"):
         digests, loose = [], []
         for row, ident, chars, text in zip(*(batch.column(c).to_pylist() for c in
                                              ("__row", "__id", "__chars", "__text"))):
@@ -96,8 +96,9 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if loose:
             yield carriers(loose)
     entries = list(heads.values())
-    for at in range(0, len(entries), 1000):
-        yield carriers(entries[at:at + 1000])
+    heads.clear()
+    for at in range(0, len(entries), 500):
+        yield carriers(entries[at:at + 500])
 
 
 FOLDED = "__row long, __id long, __chars long, __digest binary, __key long, __n long, __body binary"
@@ -117,7 +118,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> None:
         done.extend([e[1], e[4], e[5], e[2], link, bucket] for link, e in enumerate(chain))
 
-    for batch in batches:
+    for batch in text_blocks(batches, "__body"):
         for k, b, *entry in zip(*(batch.column(c).to_pylist() for c in (
                 "__key", "__bucket", "__body", "__digest", "__n", "__chars", "__id", "__row"))):
             if k != key or b != bucket:
@@ -140,7 +141,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 INDEX = "__digest binary, __keep long, __keep_row long, __size long, __link int, __bucket int"
 
 
-def build_index(carriers: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataFrame, str]:
+def build_index(carriers: DataFrame, capacity: int | None = None) -> tuple[DataFrame, str]:
     """Write the index of the carriers, one folder for each bucket, and read it back.
 
     One row for each distinct text: digest, the member that stays, group size, place in its chain.
@@ -148,6 +149,7 @@ def build_index(carriers: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataF
     spark = carriers.sparkSession
     keys = carriers.select("__key").distinct()
     n = keys.count()
+    capacity = capacity or min(MOST_KEYS, max(LEAST_KEYS, n // BUCKETS))
     bits = max(1, int(np.ceil(np.log2(max(1, n / capacity)))) + 3)
     prefix = F.shiftrightunsigned(F.col("__key"), 64 - bits)
     counts = {r[0]: r[1] for r in keys.groupBy(prefix.alias("p")).count().collect()}
@@ -166,7 +168,8 @@ def build_index(carriers: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataF
     return spark.read.schema(INDEX).parquet(path), path
 
 
-def _grouped(docs: DataFrame, capacity: int, id_column: str) -> DataFrame:
+def _grouped(docs: DataFrame, capacity: int | None, id_column: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     light = docs.select(F.monotonically_increasing_id().alias("__row"),
                         F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("__id"),
                         F.length(text_of()).cast("long").alias("__chars"), text_of().alias("__text"))
@@ -176,7 +179,7 @@ def _grouped(docs: DataFrame, capacity: int, id_column: str) -> DataFrame:
             .join(index.drop("__bucket", "__link"), "__digest"))
 
 
-def exact_groups(docs: DataFrame, capacity: int = BUCKET_KEYS, id_column: str = "doc_id") -> DataFrame:
+def exact_groups(docs: DataFrame, capacity: int | None = None, id_column: str = "doc_id") -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     plain = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return _grouped(docs, capacity, id_column).select(
@@ -185,7 +188,7 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_KEYS, id_column: str =
         F.lower(F.hex("__digest")).alias("text_sha256"))
 
 
-def deduplicate(docs: DataFrame, capacity: int = BUCKET_KEYS, id_column: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, capacity: int | None = None, id_column: str = "doc_id") -> DataFrame:
     """The documents that stay, all columns.  ``docs`` must be a stored table: rows are known by
     their place in it."""
     dropped = stored(_grouped(docs, capacity, id_column)
