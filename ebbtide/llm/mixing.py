@@ -25,7 +25,7 @@ from ebbtide.llm.common import WORD, text_of
 from ebbtide.operators.lineage import stored
 
 #: Rows of one source in a key range, about.
-RANGE_ROWS = 10_000
+RANGE_ROWS = 2_000
 #: Weights of the sources in order of their names, repeating.
 CYCLE = (3, 1, 2)
 SYMBOLS = "0123456789#$%&*!?@^_=+<>{}[]|~/\\"
