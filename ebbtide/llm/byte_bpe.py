@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import text_blocks, text_of
+from ebbtide.llm.common import small_batches, text_blocks, text_of
 
-#: Distinct pieces of one task whose tokens are remembered; at the bound the memory starts anew.
-REMEMBERED_PIECES = 200_000
+#: Distinct pieces in each generation of a worker's memory.
+REMEMBERED_PIECES = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -90,21 +90,39 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class PieceMemory(dict):
-    """Pieces of one task to their ids as little-endian unsigned 32-bit integers."""
+    """Pieces to their ids as little-endian unsigned 32-bit integers, in two generations.
+
+    When the young one is full it becomes the old one, and what is still asked for moves back; so at
+    most twice ``REMEMBERED_PIECES`` are held and frequent pieces stay.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge_piece(piece.encode(), self.ranks), dtype="<u4").tobytes()
-        if len(self) >= REMEMBERED_PIECES:
-            self.clear()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array(merge_piece(piece.encode(), self.ranks), dtype="<u4").tobytes()
         if len(piece) <= 64:
+            if len(self) >= REMEMBERED_PIECES:
+                self.old = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
 
+#: The memory of this Python worker, kept over its tasks: ranks file and pieces.
+_kept: list = [None, None]
+
+
+def _memory(ranks_path: str, ranks: dict[bytes, int]) -> PieceMemory:
+    if _kept[0] != ranks_path:
+        _kept[:] = [ranks_path, PieceMemory(ranks)]
+    return _kept[1]
+
+
 class Vocabulary:
     """Bytes of all tokens end to end, to decode arrays of ids."""
 
@@ -128,6 +146,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, outputs: list[
 
     The ranks file is read once by the driver and broadcast (a vocabulary, of fixed size).
     """
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     with_ranks = context.broadcast(read_ranks(ranks_path))
     kept = [F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)]
@@ -135,7 +154,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, outputs: list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = with_ranks.value
-        memory, vocabulary = PieceMemory(ranks), Vocabulary(ranks)
+        memory, vocabulary = _memory(ranks_path, ranks), Vocabulary(ranks)
         pieces = regex.compile(pattern).findall
         for block in text_blocks(batches, "__text"):
             columns: dict[str, list] = {name: [] for name in outputs}
