@@ -3,14 +3,17 @@
 Four patterns find the protected entities.  Offsets come from the text between matches: a match
 starts where the pieces and matches before it end, a running sum over the matches of a document.
 
-Words within ``CONTEXT`` code points of an entity are its context.  Over the whole corpus, with N
-documents, a word t discloses an entity e by the share of e's information that t carries:
+All words of a document outside its entities are their context: runs without white space, stripped
+of punctuation at the edges, in lower case.  Over the whole corpus, with N documents, a word t
+discloses an entity e by the share of e's information that t carries:
 PMI(t, e) / IC(e) = log(co N / (df(t) df(e))) / log(N / df(e)), at most 1.  Where at least
 ``SUPPORT`` documents hold both, a share of ``REMOVE_AT`` has the word removed and one of
-``GENERALISE_AT`` has it generalised, wherever it stands in the context of that entity.
+``GENERALISE_AT`` has it generalised, wherever it stands in a document with that entity.
 
-Everything is DataFrame functions.  Counts are aggregated before they are shuffled; the only large
-shuffle is document frequencies of words, combined in each task.
+Everything is DataFrame functions.  Entities in fewer than ``SUPPORT`` documents can have no such word
+and form no pairs; counts are aggregated before they are shuffled, and document frequencies are
+counted for words that ``SUPPORT`` documents share with an entity only, where these are few enough to
+broadcast.
 
 Defined cases: a null text counts as empty; documents without entities keep their text and have
 empty span lists; repeated rows are documents of their own; overlapping spans of different kinds
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import WHITE, text_of
+from ebbtide.llm.common import WHITE, WORD, if_small, text_of
 from ebbtide.operators.lineage import stored
 
 #: The kinds in order and their patterns.  Possessive loops and the look-behind change
@@ -36,9 +39,10 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 PUNCTUATION = ".,;:!?()[]\"'"
-CONTEXT = 80
 SUPPORT = 3
 REMOVE_AT, GENERALISE_AT = 0.9, 0.7
+#: Words that are broadcast at most.
+FEW_TERMS = 1_000_000
 SPAN = "struct<kind:int,start:bigint,end:bigint,name:string>"
 
 
@@ -54,7 +58,7 @@ def _valid(kind: Column, match: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Base spans: __place, kind, start, end, value, __left and __right context."""
+    """Base spans: __place, kind, start, end, value."""
     text = F.col("__text")
     likely = (F.instr(text, "@") > 0, text.rlike(r"[0-9]\.[0-9]"), text.rlike("[0-9](?:[ -]?[0-9]){15}"),
               F.instr(text, "+") > 0)
@@ -64,75 +68,107 @@ def entities(docs: DataFrame) -> DataFrame:
         for k, p in enumerate(PATTERNS)])
     rows = (docs.select("__place", F.explode(F.filter(found, lambda x: F.size(x["hits"]) > 0)).alias("f"))
             .select("__place", "f.kind", F.posexplode(F.arrays_zip(
-                F.slice("f.pieces", F.lit(1), F.size("f.hits")).alias("p"), F.col("f.hits").alias("h"),
-                F.slice("f.pieces", F.lit(2), F.size("f.hits")).alias("q"))).alias("pos", "z"))
-            .select("__place", "kind", "pos", F.col("z.h").alias("match"), F.length("z.p").cast("long").alias("gap"),
-                    F.right(F.col("z.p"), F.lit(CONTEXT + 1)).alias("__left"),
-                    F.left(F.col("z.q"), F.lit(CONTEXT + 1)).alias("__right")))
+                F.slice("f.pieces", F.lit(1), F.size("f.hits")).alias("p"), F.col("f.hits").alias("h"))).alias("pos", "z"))
+            .select("__place", "kind", "pos", F.col("z.h").alias("match"), F.length("z.p").cast("long").alias("gap")))
     upto = W.partitionBy("__place", "kind").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("match")).over(upto)
     value = F.when(F.col("kind") >= 2, F.regexp_replace("match", "[^0-9]", "")).otherwise(F.lower("match"))
     return (rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match"))
             .filter(_valid(F.col("kind"), F.col("match")))
-            .select("__place", "kind", "start", "end", value.alias("value"), "__left", "__right"))
-
-
-def _context_words(found: DataFrame) -> DataFrame:
-    """Words wholly inside the contexts: __place, kind, value, term, start, end."""
-    white = f"[^{WHITE}]+"
-
-    def words(side: Column, offset: Column) -> Column:
-        hits, gaps = F.regexp_extract_all(side, F.lit(white), F.lit(0)), F.split(side, white, -1)
-        total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-        return F.transform(hits, lambda w, i: F.struct(
-            w.alias("w"), (offset + total(gaps, i + 1) + total(hits, i)).alias("at"), i.alias("i"),
-            F.size(hits).alias("n")))
-
-    cut = F.length("__left") > CONTEXT
-    left = F.filter(words(F.col("__left"), F.col("start") - F.length("__left")), lambda x: (x["i"] > 0) | ~cut)
-    cut_right = F.length("__right") > CONTEXT
-    right = F.filter(words(F.col("__right"), F.col("end")), lambda x: (x["i"] < x["n"] - 1) | ~cut_right)
-    edge = "[" + "".join("\\" + c for c in PUNCTUATION) + "]*"
-    shape = rf"^({edge})(\p{{L}}{{4,}}){edge}$"
-    return (found.select("__place", "kind", "value", F.explode(F.concat(left, right)).alias("x"))
-            .filter(F.col("x.w").rlike(shape))
-            .select("__place", "kind", "value", F.regexp_extract("x.w", shape, 2).alias("word"),
-                    (F.col("x.at") + F.length(F.regexp_extract("x.w", shape, 1))).alias("start"))
-            .select("__place", "kind", "value", F.lower("word").alias("term"), "start",
-                    (F.col("start") + F.length("word")).alias("end")))
-
-
-def _document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df) of all words of four letters or more, over all documents."""
-    parts = WHITE + PUNCTUATION
-    words = F.split(F.lower(F.translate("__text", parts, " " * len(parts))), " ")
-    kept = F.array_distinct(F.filter(words, lambda w: F.length(w) >= 4))
-    return docs.select(F.explode(kept).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, context: DataFrame) -> DataFrame:
+            .select("__place", "kind", "start", "end", value.alias("value")))
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans without what earlier ones of the document cover: ``from`` to ``end``, after ``before``."""
+    order = W.partitionBy("__place").orderBy("start", F.desc("end"), "kind")
+    clear = F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return (spans.withColumn("before", clear).withColumn("from", F.greatest("start", "before"))
+            .filter(F.col("end") > F.col("from")))
+
+
+def _replaced() -> Column:
+    """``__text`` with each of ``cuts`` (from, before, end, tag) replaced by its tag."""
+    return F.concat(
+        F.array_join(F.transform("cuts", lambda s: F.concat(
+            F.substring(F.col("__text"), (s["before"] + 1).cast("int"), (s["from"] - s["before"]).cast("int")), s["tag"])), ""),
+        F.substring(F.col("__text"), (F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length("__text")))
+
+
+def _blanked(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents with entities (__place, __text), each entity blanked by as many spaces."""
+    cuts = (_merged(found).groupBy("__place").agg(F.sort_array(F.collect_list(F.struct(
+        "from", "before", "end", F.repeat(F.lit(" "), (F.col("end") - F.col("from")).cast("int")).alias("tag")))).alias("cuts")))
+    return docs.join(if_small(cuts, found), "__place").select("__place", _replaced().alias("__text"))
+
+
+def _term(word: Column) -> Column:
+    return F.lower(F.trim(word, F.lit(PUNCTUATION)))
+
+
+def _terms() -> Column:
+    """The distinct terms of ``__text``."""
+    words = F.array_distinct(F.split("__text", f"[{WHITE}]+", -1))
+    return F.array_distinct(F.filter(F.transform(words, _term), lambda w: w != ""))
+
+
+def _document_frequencies(docs: DataFrame, found: DataFrame, blank: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, df) of at least the wanted terms, over all documents."""
+    plain = docs.join(if_small(found.select("__place").distinct(), found), "__place", "left_anti")
+    rows = plain.union(blank).select(F.explode(_terms()).alias("term"))
+    terms = stored(wanted.select("term").distinct())
+    if terms.count() <= FEW_TERMS:
+        rows = rows.join(F.broadcast(terms), "term")
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, blank: DataFrame, of_entity: DataFrame,
+                     held: DataFrame) -> DataFrame:
     """(kind, value, term, share) of the words that disclose an entity."""
     n = docs.agg(F.count("*").alias("n"))
-    of_entity = found.groupBy("kind", "value").agg(F.countDistinct("__place").alias("de"))
-    together = (context.select("__place", "kind", "value", "term").distinct()
-                .groupBy("kind", "value", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= SUPPORT))
+    together = stored(held.groupBy("kind", "value", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= SUPPORT))
     log = lambda x: F.ln(x.cast("double"))
     pmi = log(F.col("co")) + log(F.col("n")) - log(F.col("df")) - log(F.col("de"))
-    return (together.join(of_entity, ["kind", "value"]).join(_document_frequencies(docs), "term")
+    return (together.join(of_entity, ["kind", "value"]).join(_document_frequencies(docs, found, blank, together), "term")
             .crossJoin(F.broadcast(n))  # one row
             .withColumn("share", F.coalesce(F.try_divide(pmi, log(F.col("n")) - log(F.col("de"))), F.lit(0.0)))
             .filter(F.col("share") >= GENERALISE_AT).select("kind", "value", "term", "share"))
 
 
+def _occurrences(blank: DataFrame, marked: DataFrame) -> DataFrame:
+    """(__place, start, end, share) wherever a marked (__place, term, share) stands in its document."""
+    text = F.col("__text")
+    rows = (blank.join(marked.select("__place").distinct(), "__place", "left_semi")
+            .select("__place", F.posexplode(F.arrays_zip(
+                F.split(text, WORD, -1).alias("g"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"))).alias("pos", "z"))
+            .select("__place", "pos", F.col("z.w").alias("word"), F.length("z.g").cast("long").alias("gap"))
+            .filter("word is not null"))
+    upto = W.partitionBy("__place").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    edge = F.lit(PUNCTUATION)
+    return (rows.withColumn("upto", F.sum(F.col("gap") + F.length("word")).over(upto))
+            .select("__place", _term(F.col("word")).alias("term"),
+                    (F.col("upto") - F.length(F.ltrim("word", edge))).alias("start"),
+                    F.length(F.trim("word", edge)).alias("size"))
+            .join(marked, ["__place", "term"])
+            .select("__place", "start", (F.col("start") + F.col("size")).alias("end"), "share"))
+
+
 def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with __place and __text, and their spans (__place, base, added)."""
     placed = docs.withColumn("__place", F.monotonically_increasing_id()).withColumn("__text", text_of())
     slim = placed.select("__place", "__text")
     found = stored(entities(slim))
-    context = _context_words(found)
-    strong = disclosing_terms(slim, found, context)
-    added = (context.join(strong, ["kind", "value", "term"])
-             .groupBy("__place", "start", "end").agg(F.max("share").alias("share"))
+    blank = stored(_blanked(slim, found))
+    mentions = found.select("__place", "kind", "value").distinct()
+    of_entity = stored(mentions.groupBy("kind", "value").agg(F.count("*").alias("de")).filter(F.col("de") >= SUPPORT))
+    of_place = (mentions.join(if_small(of_entity.select("kind", "value")), ["kind", "value"])
+                .groupBy("__place").agg(F.collect_list(F.struct("kind", "value")).alias("entities")))
+    # A row for each entity and distinct word of a document.
+    held = (blank.join(of_place, "__place").select("__place", F.explode("entities").alias("e"), "__text")
+            .select("__place", "e.kind", "e.value", F.explode(_terms()).alias("term")))
+    strong = stored(disclosing_terms(slim, found, blank, of_entity, held))
+    marked = stored(held.join(if_small(strong), ["kind", "value", "term"])
+                    .groupBy("__place", "term").agg(F.max("share").alias("share")))
+    added = (_occurrences(blank, marked)
              .groupBy("__place").agg(F.sort_array(F.collect_list(F.struct(
                  F.lit(4).alias("kind"), "start", "end",
                  F.when(F.col("share") >= REMOVE_AT, "remove").otherwise("generalise").alias("how")))).alias("added")))
@@ -165,19 +201,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     flat = (spans.select("__place", F.explode(F.concat("base", F.coalesce("added", F.array().cast(
         "array<struct<kind:int,start:bigint,end:bigint,how:string>>")))).alias("s"))
         .select("__place", "s.*"))
-    order = W.partitionBy("__place").orderBy("start", F.desc("end"), "kind")
-    clear = F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    merged = (flat.withColumn("from", F.greatest("start", clear)).filter(F.col("end") > F.col("from"))
-              .withColumn("before", clear)
+    merged = (_merged(flat)
               .withColumn("tag", F.when(F.col("start") < F.col("before"), "")
                           .when(F.col("how") == "remove", "")
                           .otherwise(F.concat(F.lit("["), F.upper(F.get(F.array(*[F.lit(k) for k in (*KINDS, "term")]),
                                                                         F.col("kind"))), F.lit("]"))))
               .groupBy("__place").agg(F.sort_array(F.collect_list(F.struct("from", "before", "end", "tag"))).alias("cuts")))
-    clean = F.concat(
-        F.array_join(F.transform("cuts", lambda s: F.concat(
-            F.substring(F.col("__text"), (s["before"] + 1).cast("int"), (s["from"] - s["before"]).cast("int")), s["tag"])), ""),
-        F.substring(F.col("__text"), (F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length("__text")))
     return (placed.join(merged, "__place", "left")
-            .select(*[F.when(F.col("cuts").isNull(), F.col("text")).otherwise(clean).alias("text") if c == "text"
+            .select(*[F.when(F.col("cuts").isNull(), F.col("text")).otherwise(_replaced()).alias("text") if c == "text"
                       else F.col(f"`{c}`") for c in docs.columns]))

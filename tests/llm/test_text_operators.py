@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -171,6 +172,55 @@ def test_disclosing_terms_by_brute_force(spark):
     assert pii.sanitise(docs).columns == docs.columns
 
 
+def disclosing_by_brute_force(rows):
+    """Per row the (start, end, share) of disclosing words, by whole documents."""
+    n, df, de, co = len(rows), collections.Counter(), collections.Counter(), collections.Counter()
+    mail = re.compile(PLAIN[0])
+    words, held = [], []
+    for _, text in rows:
+        blank = mail.sub(lambda m: " " * len(m.group()), text)
+        found = []
+        for m in WORD.finditer(blank):
+            core = m.group().strip(pii.PUNCTUATION)
+            at = m.start() + len(m.group()) - len(m.group().lstrip(pii.PUNCTUATION))
+            found += [(at, at + len(core), core.lower())] if core else []
+        words.append(found)
+        held.append({m.group().lower() for m in mail.finditer(text)})
+        terms = {w for _, _, w in found}
+        df.update(terms)
+        de.update(held[-1])
+        co.update((e, w) for e in held[-1] for w in terms)
+    def share(e, w):
+        if co[e, w] < 3 or de[e] == n:
+            return 0
+        return (math.log(co[e, w]) + math.log(n) - math.log(df[w]) - math.log(de[e])) / (math.log(n) - math.log(de[e]))
+    return [[(a, b) for a, b, w in found if max((share(e, w) for e in es), default=0) >= 0.7 - 1e-12]
+            for found, es in zip(words, held)]
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_disclosing_terms_of_whole_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(pii, "FEW_TERMS", few, raising=False)
+    rng = random.Random(9)
+    rows = []
+    for i in range(80):
+        noise = lambda k: " ".join(rng.choice(["alpha", "bravo", "delta", "gamma", "house"]) for _ in range(k))
+        if i % 10 == 0:
+            # Far words, short names, digits, hyphens, other scripts, and the word a second time.
+            rows.append((i, f"Lee, {noise(60)} \"X-15\" {noise(40)} mail:boss@corp.example é {noise(50)} (R2d2) 王芳 {noise(30)} LEE! "
+                            f"-- {noise(5)} other{i}@corp.example"))
+        elif i % 10 == 5:
+            rows.append((i, f"{noise(30)} x-15 sales@corp.example {noise(100)} O'Neil {'common ' * (i % 4)}"))
+        else:
+            rows.append((i, noise(20) + (" é" if i % 2 else "")))
+    want = disclosing_by_brute_force(rows)
+    docs = documents(spark, rows)
+    out = {r.doc_id: [(s["start"], s["end"]) for s in r.added] for r in pii.find_spans(docs).collect()}
+    assert [out[i] for i, _ in rows] == want
+    assert {rows[0][1][a:b] for a, b in out[0]} >= {"Lee", "LEE", "R2d2", "王芳", "mail"} and out[1] == []
+    assert "LEE" not in {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[0]
+
+
 def test_sanitise_masks_overlapping_spans_once(spark):
     docs = documents(spark, [(1, "call +4111111111111111 now"), (2, "x +1 (234) 567-8901 y a@b.cc z"), (3, None), (4, "é 1.2.3.4 ü")])
     got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
