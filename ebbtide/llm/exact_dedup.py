@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import WHITE, if_small, small_batches, text_blocks, text_of
-from ebbtide.operators.lineage import shared_folder, stored
+from ebbtide.operators.lineage import place_of, placed, shared_folder, stored
 
 #: Distinct keys that a bucket may hold before it splits: a share of all keys within these limits.
 LEAST_KEYS, MOST_KEYS, BUCKETS = 1_500, 100_000, 64
@@ -170,7 +170,7 @@ def build_index(carriers: DataFrame, capacity: int | None = None) -> tuple[DataF
 
 def _grouped(docs: DataFrame, capacity: int | None, id_column: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    light = docs.select(F.monotonically_increasing_id().alias("__row"),
+    light = docs.select(place_of(docs).alias("__row"),
                         F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("__id"),
                         F.length(text_of()).cast("long").alias("__chars"), text_of().alias("__text"))
     folded = stored(light.mapInArrow(_fold, FOLDED))
@@ -189,10 +189,9 @@ def exact_groups(docs: DataFrame, capacity: int | None = None, id_column: str =
 
 
 def deduplicate(docs: DataFrame, capacity: int | None = None, id_column: str = "doc_id") -> DataFrame:
-    """The documents that stay, all columns.  ``docs`` must be a stored table: rows are known by
-    their place in it."""
-    dropped = stored(_grouped(docs, capacity, id_column)
+    """The documents that stay, all columns."""
+    rows = placed(docs)
+    dropped = stored(_grouped(rows, capacity, id_column)
                      .filter(F.col("__row") != F.col("__keep_row"))
                      .select(F.col("__row").alias("__dropped")))
-    placed = docs.withColumn("__place", F.monotonically_increasing_id())
-    return placed.join(if_small(dropped), F.col("__place") == F.col("__dropped"), "left_anti").drop("__place")
+    return rows.join(if_small(dropped), F.col("__place") == F.col("__dropped"), "left_anti").drop("__place")

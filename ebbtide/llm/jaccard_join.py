@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.common import if_small, plain_bytes, shingle_sets, small_batches, text_blocks, text_of
 from ebbtide.llm.components import components
-from ebbtide.operators.lineage import stored
+from ebbtide.operators.lineage import placed as written, stored
 
 #: Prefixes that a token may lie in before it moves behind the rarer ones.
 COMMON = 8
@@ -196,12 +196,10 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 def linked_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """A row for each document: __place, doc_id, n_shingles, component_id, __root.
 
-    ``__place`` is the document's place in the stored table ``docs`` and ``__root`` the least place
-    of its component.
+    ``__place`` is that of ``docs``, if it has one, and ``__root`` the least place of its component.
     """
     small_batches(docs.sparkSession)
-    placed = docs.select(F.monotonically_increasing_id().alias("__place"), F.col("doc_id").cast("long").alias("__id"),
-                         text_of().alias("__text"))
+    placed = written(docs).select("__place", F.col("doc_id").cast("long").alias("__id"), text_of().alias("__text"))
     sets = stored(_sets(placed, width))
     # Equal sets: one stands for all; the others need no answers of their own.
     firsts = stored(sets.filter("n > 0").groupBy("digest", "n").agg(F.min("__place").alias("first"), F.count("*").alias("k"))
@@ -276,8 +274,8 @@ def _stray_pairs(long: DataFrame, mids: DataFrame, found: DataFrame, percent: in
 
 
 def one_per_component(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """One document of each component, all columns; ``docs`` must be a stored table."""
-    groups = linked_components(docs, width, percent)
+    """One document of each component, all columns."""
+    rows = written(docs)
+    groups = linked_components(rows, width, percent)
     dropped = stored(groups.filter("__place <> __root").select(F.col("__place").alias("__dropped")))
-    placed = docs.withColumn("__place", F.monotonically_increasing_id())
-    return placed.join(if_small(dropped), F.col("__place") == F.col("__dropped"), "left_anti").drop("__place")
+    return rows.join(if_small(dropped), F.col("__place") == F.col("__dropped"), "left_anti").drop("__place")

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import WORD, text_of
-from ebbtide.operators.lineage import stored
+from ebbtide.operators.lineage import place_of, placed, stored
 
 #: Rows of one source in a key range, about.
 RANGE_ROWS = 2_000
@@ -70,13 +70,13 @@ def mix(docs: DataFrame, budget_share: float = 1.5, max_epochs: float = 2.0, see
     """A row for each document: __place, doc_id, source, size, source_size, target, taken, epochs.
 
     ``taken`` counts words, repeats too; ``cut_last`` cuts the document in which a budget ends,
-    otherwise that document is taken whole if most of it fits.  ``__place`` is the document's place
-    in the stored table ``docs``.
+    otherwise that document is taken whole if most of it fits.  ``__place`` is that of ``docs``, if it
+    has one.
     """
     text = text_of()
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / F.lit(2.0 ** 53)
     light = stored(docs.select(
-        F.monotonically_increasing_id().alias("__place"), F.col("doc_id"), F.col("source").cast("string").alias("source"),
+        place_of(docs).alias("__place"), F.col("doc_id"), F.col("source").cast("string").alias("source"),
         n_words(text).alias("size"), (-F.ln(u) / quality_weight(text)).alias("__key"),
         F.xxhash64(text).alias("__text")))
     targets = source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size"),
@@ -115,9 +115,9 @@ def mix(docs: DataFrame, budget_share: float = 1.5, max_epochs: float = 2.0, see
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: rows in as many copies as the mix takes them, all columns."""
-    chosen = mix(docs, cut_last=False, **options).filter("copies > 0").select(
+    rows = placed(docs)
+    chosen = mix(rows, cut_last=False, **options).filter("copies > 0").select(
         F.col("__place").alias("__at"), F.col("copies").alias("__copies"))
-    placed = docs.withColumn("__place", F.monotonically_increasing_id())
-    joined = placed.join(chosen, F.col("__place") == F.col("__at"))
+    joined = rows.join(chosen, F.col("__place") == F.col("__at"))
     return (joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

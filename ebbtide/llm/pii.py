@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import WHITE, WORD, if_small, text_of
-from ebbtide.operators.lineage import stored
+from ebbtide.operators.lineage import placed as written, stored
 
 #: The kinds in order and their patterns.  Possessive loops and the look-behind change
 #: no match; they spare the regex engine from retrying inside a run and from deep recursion.
@@ -154,7 +154,7 @@ def _occurrences(blank: DataFrame, marked: DataFrame) -> DataFrame:
 
 def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with __place and __text, and their spans (__place, base, added)."""
-    placed = docs.withColumn("__place", F.monotonically_increasing_id()).withColumn("__text", text_of())
+    placed = written(docs).withColumn("__text", text_of())
     slim = placed.select("__place", "__text")
     found = stored(entities(slim))
     blank = stored(_blanked(slim, found))

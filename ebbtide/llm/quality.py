@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import byte_kinds, if_small, plain_bytes, small_batches, text_blocks, text_of, word_hashes, word_spans
-from ebbtide.operators.lineage import stored
+from ebbtide.operators.lineage import place_of, placed, stored
 
 WINDOW = 40
 MAX_POSITIVES = 200_000
@@ -207,9 +207,9 @@ def fit(rows: DataFrame) -> Model | None:
 def scored(docs: DataFrame, positives: DataFrame) -> DataFrame:
     """(__place, doc_id, score) of every document; ``positives`` (doc_id) are trusted good texts.
 
-    ``__place`` is the document's place in the stored table ``docs``.
+    ``__place`` is that of ``docs``, if it has one.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("__place"), F.col("doc_id").cast("long").alias("__id"),
+    base = docs.select(place_of(docs).alias("__place"), F.col("doc_id").cast("long").alias("__id"),
                        text_of().alias("__text"))
     small_batches(docs.sparkSession)
     # Least hashes first keeps the same sample at any order of rows; its size is the documented bound.
@@ -235,7 +235,7 @@ def held_out(remainder: int, modulus: int) -> Column:
 
 
 def good_documents(docs: DataFrame, positives: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents with a score of ``least`` or more, all columns; ``docs`` must be a stored table."""
-    dropped = stored(scored(docs, positives).filter(F.col("score") < least).select(F.col("__place").alias("__dropped")))
-    placed = docs.withColumn("__place", F.monotonically_increasing_id())
-    return placed.join(if_small(dropped), F.col("__place") == F.col("__dropped"), "left_anti").drop("__place")
+    """The documents with a score of ``least`` or more, all columns."""
+    rows = placed(docs)
+    dropped = stored(scored(rows, positives).filter(F.col("score") < least).select(F.col("__place").alias("__dropped")))
+    return rows.join(if_small(dropped), F.col("__place") == F.col("__dropped"), "left_anti").drop("__place")

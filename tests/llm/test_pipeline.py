@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from ebbtide.llm import mixing, quality, queries
 from tests.conftest import SF
-from tests.llm.helpers import WHITE, brute_components, saved
+from tests.llm.helpers import WHITE, brute_components, documents, saved
 from tests.oracle import compare, connect
 
 
@@ -67,6 +67,37 @@ def test_run_gives_the_rows_of_its_stages(spark):
     assert rows_of(first) == rows_of(second) and first.count() > 0
 
 
+def test_rows_keep_their_place_when_the_table_is_cut_anew(spark):
+    from ebbtide.llm import exact_dedup, jaccard_join, pii
+    rows = [(i, " ".join(f"w{i // 3 * 3 + (k == 40) * (i % 3)}x{k}" for k in range(60)) + f" a{i // 3}@b.cc {'# 9' * (i % 5)}")
+            for i in range(90)] + [(100 + i, f"same {i % 7}") for i in range(35)]
+    docs = documents(spark, rows)
+    positives = spark.createDataFrame([(i,) for i in range(0, 90, 2)], "doc_id long")
+    key = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(key, "8")
+        scores = {r.doc_id: r.score for r in quality.scored(docs, positives).collect()}
+        least = sorted(scores.values())[60]
+        spans = {r.doc_id: len(r.base) for r in pii.find_spans(docs).collect()}
+        out = [f() for f in (
+            lambda: exact_dedup.deduplicate(docs), lambda: jaccard_join.one_per_component(docs),
+            lambda: quality.good_documents(docs, positives, least), lambda: mixing.mixed_documents(docs),
+            lambda: pii.sanitise(docs), lambda: pii.find_spans(docs))]
+        copies = {r.doc_id: r.copies for r in mixing.mix(docs, cut_last=False).collect() if r.copies}
+        # The jobs from here on see one partition where the ones before saw eight.
+        spark.conf.set(key, "1")
+        single, apart, good, mixed, clean, found = [f.collect() for f in out]
+    finally:
+        spark.conf.unset(key)
+    assert sorted(r.doc_id for r in single) == list(range(90)) + list(range(100, 107))
+    component = dict(zip((i for i, _ in rows), brute_components(rows)))
+    assert sorted(component[r.doc_id][1] for r in apart) == sorted({c for _, c in component.values()})
+    assert {r.doc_id for r in good} == {i for i, s in scores.items() if s >= least}
+    assert collections.Counter(r.doc_id for r in mixed) == copies
+    assert {r.doc_id: len(r.base) for r in found} == spans
+    assert all(("[EMAIL]" in r.text) == (r.doc_id < 90) and "@" not in r.text for r in clean)
+
+
 def test_registered_queries():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
