@@ -12,8 +12,10 @@ rows reach the minimum in a few jobs; once the bracket is negative its part of t
 round, as the non-negative estimator asks.  The class prior is estimated from a first fit: the least
 ratio, over score thresholds, of the unlabelled share above it to the positive share above it.
 
-Only sums over features leave the tasks; positives are bounded by ``MAX_POSITIVES``, a sample by
-hash of the doc_id that does not change with the order of rows.
+Only sums over features leave the tasks.  Terms are rounded to whole multiples of a power of two, so
+that their sums are exact and no cut of the table into files or tasks changes a model or a score;
+scores have nine decimals.  Positives are bounded by ``MAX_POSITIVES``, a sample by hash of the
+doc_id that does not change with the order of rows.
 
 Defined cases: null and empty texts have the features of no words and get a score like any other;
 repeated rows count each; without positives every score is 0.5; rows with a null doc_id carry no
@@ -109,21 +111,37 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+#: Bits behind the point in the terms of sums: of inputs, of probabilities and losses, of plain features.
+INPUT_BITS, SHARE_BITS, FEATURE_BITS = 12, 20, 20
+#: Batches whose totals, each under 2^53, a task adds up before it hands them on.
+FLUSH = 512
+
+
+def whole(x: np.ndarray, bits: int) -> np.ndarray:
+    """The nearest multiples of 2^-bits, as whole numbers in double precision."""
+    return np.rint(x * float(1 << bits))
+
+
 def _sums(rows: DataFrame, contribution) -> np.ndarray:
-    """Sum over all rows of the vector that ``contribution(x, positive)`` gives for a batch.
+    """Sum over all rows of the vector of whole numbers that ``contribution(x, positive)`` gives for a batch.
 
-    Partial sums are added up by Spark, element by element.
+    All additions are exact: in a batch below 2^53, over batches in longs, over tasks as decimals.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, held = None, 0
         for batch in batches:
             if batch.num_rows:
                 part = contribution(matrix(batch.column("x")), batch.column("positive").to_numpy(zero_copy_only=False))
-                total = part if total is None else total + part
+                total = part.astype(np.int64) if total is None else total + part.astype(np.int64)
+                held += 1
+            if held == FLUSH:
+                yield pa.record_batch([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["k", "v"])
+                total, held = None, 0
         if total is not None:
-            yield pa.record_batch([pa.array(np.arange(len(total)), pa.int64()), pa.array(total, pa.float64())], names=["k", "v"])
-    found = rows.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-    return found.sort_values("k")["v"].to_numpy()
+            yield pa.record_batch([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["k", "v"])
+    found = (rows.mapInArrow(run, "k long, v long").groupBy("k")
+             .agg(F.sum(F.col("v").cast("decimal(19,0)")).alias("v")).toPandas())
+    return found.sort_values("k")["v"].astype(float).to_numpy()
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -141,7 +159,15 @@ class Model:
         return np.concatenate([np.ones((len(z), 1)), z, z * z], axis=1)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return self.inputs(x) @ self.weights
+        return weighed(self.inputs(x), self.weights)
+
+
+def weighed(z: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """z @ weights, column by column: a row's sum does not depend on the rows beside it."""
+    out = np.zeros(len(z))
+    for k, weight in enumerate(weights):
+        out += z[:, k] * weight
+    return out
 
 
 def _descend(rows: DataFrame, model: Model, prior: float, n_pos: float, n_all: float) -> Model:
@@ -150,13 +176,19 @@ def _descend(rows: DataFrame, model: Model, prior: float, n_pos: float, n_all: f
     for _ in range(STEPS):
         def parts(x: np.ndarray, positive: np.ndarray, model=model) -> np.ndarray:
             z = model.inputs(x)
-            g = z @ model.weights
+            g = weighed(z, model.weights)
             s, p = sigmoid(g), positive.astype(np.float64)
-            soft = np.logaddexp(0, g)
-            h = (z * (s * (1 - s))[:, None]).T @ z
-            hp = (z * (p * s * (1 - s))[:, None]).T @ z
+            soft = whole(np.maximum(g, 0) - np.log(sigmoid(np.abs(g))), SHARE_BITS)
+            spread = whole(z * np.sqrt(s * (1 - s))[:, None], INPUT_BITS)
+            z, s = whole(z, INPUT_BITS), whole(s, SHARE_BITS)
+            h, hp = spread.T @ spread, (spread * p[:, None]).T @ spread
             return np.concatenate([[soft.sum(), (p * soft).sum()], s @ z, p @ z, (p * s) @ z, h.ravel(), hp.ravel()])
         v = _sums(rows, parts)
+        if not len(v):
+            break
+        unit = 2.0 ** -INPUT_BITS
+        v = v * np.concatenate([np.full(2, 2.0 ** -SHARE_BITS), np.repeat([unit * 2.0 ** -SHARE_BITS, unit,
+                                unit * 2.0 ** -SHARE_BITS], d), np.full(2 * d * d, unit * unit)])
         soft_all, soft_pos = v[0] / n_all, v[1] / n_pos
         u, zp, sp = v[2:2 + d] / n_all, v[2 + d:2 + 2 * d] / n_pos, v[2 + 2 * d:2 + 3 * d] / n_pos
         h_all, h_pos = (v[2 + 3 * d:].reshape(2, d, d)[k] / n for k, n in ((0, n_all), (1, n_pos)))
@@ -191,10 +223,12 @@ def _estimated_prior(rows: DataFrame, model: Model, n_pos: float, n_all: float,
 def fit(rows: DataFrame) -> Model | None:
     """Fit on rows (x, positive); None without positives."""
     def moments(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
-        return np.concatenate([[len(x), positive.sum()], x.sum(0), (x * x).sum(0)])
+        w = whole(x, FEATURE_BITS)
+        return np.concatenate([[len(x), positive.sum()], w.sum(0), whole(x * x, FEATURE_BITS).sum(0)])
     v = _sums(rows, moments)
     if not len(v) or v[1] < 1:
         return None
+    v[2:] /= 1 << FEATURE_BITS
     n_all, n_pos = v[0], v[1]
     mean, square = v[2:2 + len(NAMES)] / n_all, v[2 + len(NAMES):] / n_all
     scale = np.sqrt(np.maximum(square - mean * mean, 1e-8))
@@ -224,7 +258,7 @@ def scored(docs: DataFrame, positives: DataFrame) -> DataFrame:
         for batch in batches:
             score = (sigmoid(model.margin(matrix(batch.column("x")))) if model is not None and batch.num_rows
                      else np.full(batch.num_rows, 0.5))
-            yield pa.record_batch([batch.column("__place"), batch.column("__id"), pa.array(score, pa.float64())],
+            yield pa.record_batch([batch.column("__place"), batch.column("__id"), pa.array(np.round(score, 9), pa.float64())],
                                   names=["__place", "doc_id", "score"])
     return rows.select("__place", "__id", "x").mapInArrow(run, "__place long, doc_id long, score double")
 

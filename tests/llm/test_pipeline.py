@@ -109,3 +109,11 @@ def test_queries_equal_their_sql(spark):
     from ebbtide.llm.oracle_sql import SQL
     for name, sql in SQL.items():
         assert compare(spark, con, entry.queries()[name], sql, SF) is None, name
+
+
+def test_quality_scores_do_not_depend_on_the_cut_of_the_table(spark):
+    docs = documents(spark, [(i, " ".join(f"w{(i * 7 + k) % 50}{'#9'[: i % 3]}" for k in range(5 + i % 60))) for i in range(300)])
+    positives = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id long")
+    scores = [{r.doc_id: r.score for r in quality.scored(part, positives).collect()}
+              for part in (docs.repartition(7), docs.repartition(1), docs.orderBy(-docs.doc_id))]
+    assert scores[0] == scores[1] == scores[2] and len(set(scores[0].values())) > 50
