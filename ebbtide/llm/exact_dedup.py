@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import WHITE, if_small, small_batches, text_blocks, text_of
-from ebbtide.operators.lineage import place_of, placed, shared_folder, stored
+from ebbtide.llm.rows import place_of, placed
+from ebbtide.operators.lineage import shared_folder, stored
 
 #: Distinct keys that a bucket may hold before it splits: a share of all keys within these limits.
 LEAST_KEYS, MOST_KEYS, BUCKETS = 1_500, 100_000, 64

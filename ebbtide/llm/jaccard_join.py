@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.common import if_small, plain_bytes, shingle_sets, small_batches, text_blocks, text_of
 from ebbtide.llm.components import components
-from ebbtide.operators.lineage import placed as written, stored
+from ebbtide.llm.rows import placed as written
+from ebbtide.operators.lineage import stored
 
 #: Prefixes that a token may lie in before it moves behind the rarer ones.
 COMMON = 8

@@ -22,7 +22,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import WORD, text_of
-from ebbtide.operators.lineage import place_of, placed, stored
+from ebbtide.llm.rows import place_of, placed
+from ebbtide.operators.lineage import stored
 
 #: Rows of one source in a key range, about.
 RANGE_ROWS = 2_000

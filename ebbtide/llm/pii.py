@@ -27,7 +27,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import WHITE, WORD, if_small, text_of
-from ebbtide.operators.lineage import placed as written, stored
+from ebbtide.llm.rows import placed as written
+from ebbtide.operators.lineage import stored
 
 #: The kinds in order and their patterns.  Possessive loops and the look-behind change
 #: no match; they spare the regex engine from retrying inside a run and from deep recursion.

@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import byte_kinds, if_small, plain_bytes, small_batches, text_blocks, text_of, word_hashes, word_spans
-from ebbtide.operators.lineage import place_of, placed, stored
+from ebbtide.llm.rows import place_of, placed
+from ebbtide.operators.lineage import stored
 
 WINDOW = 40
 MAX_POSITIVES = 200_000

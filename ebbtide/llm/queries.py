@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm import (
-    ann, byte_bpe, exact_dedup, jaccard_join, mixing, pii, quality, toxicity, url_filters, warc)
+    ann, byte_bpe, exact_dedup, hard_negatives, jaccard_join, mixing, pii, quality, toxicity, url_filters, warc,
+    whitening)
 from ebbtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +81,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN, ["n_tokens", "ids_sha256", "decoded_sha256"], ["doc_id"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    pair = F.explode(F.arrays_zip("whitened", "explained", F.sequence(F.lit(1), F.size("whitened")).alias("component")))
+    return rows.filter(F.size("whitened") > 0).select("vec_id", "n", "deviation", "identity_error", pair.alias("c")).select(
+        "vec_id", F.col("c.component").alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"),
+        F.col("c.explained").alias("explained"), "identity_error")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_url_filters, op3_quality, op4_toxicity, op5_exact_dedup, op6_warc, op7_nearest,
-    op8_mixing, op9_pii, op10_byte_bpe)}
+    op8_mixing, op9_pii, op10_byte_bpe, op11_hard_negatives, op12_whitening)}

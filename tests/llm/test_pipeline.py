@@ -100,7 +100,7 @@ def test_rows_keep_their_place_when_the_table_is_cut_anew(spark):
 
 def test_registered_queries():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
