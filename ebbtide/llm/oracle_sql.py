@@ -86,3 +86,16 @@ FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id)
 QUALIFY row_number() OVER w <= 3
 """
+
+# The given pages hold their main text in one article; inline elements part no words, others do.
+SQL["op13_html_extraction"] = r"""
+WITH a AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS inner_html FROM pages
+), t AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(inner_html, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS plain FROM a
+), d AS (
+    SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(plain, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
+                                             '\s+', ' ', 'g')) AS text FROM t
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm import (
-    ann, byte_bpe, exact_dedup, hard_negatives, jaccard_join, mixing, pii, quality, toxicity, url_filters, warc,
-    whitening)
+    ann, byte_bpe, exact_dedup, hard_negatives, html_extract, jaccard_join, mixing, pii, quality, toxicity, url_filters,
+    warc, whitening)
 from ebbtide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c.explained").alias("explained"), "identity_error")
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_url_filters, op3_quality, op4_toxicity, op5_exact_dedup, op6_warc, op7_nearest,
-    op8_mixing, op9_pii, op10_byte_bpe, op11_hard_negatives, op12_whitening)}
+    op8_mixing, op9_pii, op10_byte_bpe, op11_hard_negatives, op12_whitening,
+    op13_html_extraction)}
