@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.contract import EXPERT_POINTS
 from ebbtide.functions.columns import is_true
+from ebbtide.operators.lineage import cut_lineage
 from ebbtide.operators.ordering import equal_freq_buckets, row_ranks, running_totals
 
 
@@ -18,53 +19,87 @@ def score_totals(scores: DataFrame, by: Sequence[str]) -> DataFrame:
         "n": F.lit(1), "pos": label, "lost": F.col("value") * label}, by)
 
 
-def auc(totals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mann-Whitney AUC with average ranks for ties, Gini."""
+def _area() -> Column:
     negatives = F.col("n") - F.col("pos")
     below = F.col("lt_n") - F.col("lt_pos")
     wins = F.sum(F.col("pos") * (below + negatives / 2.0))
     pairs = F.max(F.col("tot_pos").cast("double") * (F.col("tot_n") - F.col("tot_pos")))
-    area = F.try_divide(wins, pairs)
-    return totals.groupBy(*by).agg(area.alias("auc"), (area * 2 - 1).alias("gini"))
+    return F.try_divide(wins, pairs)
 
 
-def ks(totals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Largest distance of the two cumulative rates, ties taken together."""
+def _distance() -> Column:
     pos = F.try_divide("lt_pos", "tot_pos")
     neg = F.try_divide(F.col("lt_n") - F.col("lt_pos"), F.col("tot_n") - F.col("tot_pos"))
-    return totals.groupBy(*by).agg(F.max(F.abs(pos - neg)).alias("ks"))
+    return F.max(F.abs(pos - neg))
 
 
-def top_list(scores: DataFrame, totals: DataFrame, by: Sequence[str], fraction: float,
-             key: str = "household_id") -> DataFrame:
-    """Precision, recall, lift and value captured by the ``round(n * fraction)`` riskiest rows.
+def auc(totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mann-Whitney AUC with average ranks for ties, Gini."""
+    return totals.groupBy(*by).agg(_area().alias("auc"), (_area() * 2 - 1).alias("gini"))
 
-    Whole score levels come from the folded totals; only rows tied at the cut are ranked by key.
-    """
-    by = list(by)
+
+def ks(totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Largest distance of the two cumulative rates, ties taken together."""
+    return totals.groupBy(*by).agg(_distance().alias("ks"))
+
+
+def _list_of(fraction: float) -> Column:
+    """What a list of ``round(n * fraction)`` rows holds of whole score levels, and the level that it cuts."""
     size = F.bround(F.col("tot_n") * fraction, 0)
     above = F.col("tot_n") - F.col("lt_n") - F.col("n")
-    full = totals.withColumn("size", size).withColumn("above", above)
-    whole = full.groupBy(*by).agg(
-        F.max("size").alias("size"), F.max("tot_n").alias("rows"), F.max("tot_pos").alias("tot_pos"),
-        F.max("tot_lost").alias("tot_lost"),
-        *[F.coalesce(F.sum(F.when(F.col("above") + F.col("n") <= F.col("size"), F.col(c))),
-                     F.lit(0)).alias(c) for c in ("pos", "lost")])
-    cut = full.filter((F.col("above") < F.col("size"))
-                      & (F.col("above") + F.col("n") > F.col("size"))).select(
-        *by, "score", (F.col("size") - F.col("above")).alias("places"))
-    tied = row_ranks(scores.join(cut, [*by, "score"]), key, key, by)
-    extra = tied.filter(F.col("row_rank") <= F.col("places")).groupBy(*by).agg(
+    inside = above + F.col("n") <= size
+    cut = (above < size) & ~inside
+    return F.struct(F.lit(fraction).alias("fraction"), F.max(size).alias("size"),
+                    *[F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0)).alias(c) for c in ("pos", "lost")],
+                    F.max(F.when(cut, F.col("score"))).alias("score"),
+                    F.max(F.when(cut, size - above)).alias("places"))
+
+
+def list_metrics(scores: DataFrame, totals: DataFrame, by: Sequence[str], fractions: Sequence[float],
+                 key: str = "household_id") -> DataFrame:
+    """One row per group: AUC, Gini, KS and an array ``lists`` of what the riskiest rows of each fraction hold.
+
+    The totals are folded once.  Whole score levels come from them; only rows tied at a cut are
+    ranked by key.
+    """
+    by = list(by)
+    one = totals.groupBy(*by).agg(
+        _area().alias("auc"), _distance().alias("ks"), F.max("tot_n").alias("rows"), F.max("tot_pos").alias("tot_pos"),
+        F.max("tot_lost").alias("tot_lost"), *[_list_of(f).alias(f"_l{k}") for k, f in enumerate(fractions)])
+    # One row per group, read for the cuts and for the result.
+    one = cut_lineage(one.withColumn("lists", F.array(*[f"_l{k}" for k in range(len(fractions))])).drop(
+        *[f"_l{k}" for k in range(len(fractions))]))
+    cuts = one.select(*by, F.explode("lists").alias("_l")).select(*by, "_l.fraction", "_l.score", "_l.places").filter(
+        "places IS NOT NULL")
+    tied = row_ranks(scores.join(cuts, [*by, "score"]), key, key, [*by, "fraction"])
+    extra = tied.filter(F.col("row_rank") <= F.col("places")).groupBy(*by, "fraction").agg(
         F.sum("label").alias("extra_pos"), F.sum(F.col("value") * F.col("label")).alias("extra_lost"))
-    joined = whole.join(extra, by, "left")
-    pos = F.col("pos") + F.coalesce("extra_pos", F.lit(0))
-    lost = F.col("lost") + F.coalesce("extra_lost", F.lit(0.0))
-    precision = F.try_divide(pos, F.col("size"))
-    return joined.select(
-        *by, F.lit(fraction).alias("fraction"), F.col("size").cast("long").alias("size"),
-        precision.alias("precision"), F.try_divide(pos, F.col("tot_pos")).alias("recall"),
-        F.try_divide(precision, F.col("tot_pos") / F.col("rows")).alias("lift"),
-        F.try_divide(lost, F.col("tot_lost")).alias("value_captured"))
+    named = extra.groupBy(*by).agg(F.map_from_entries(F.collect_list(  # an entry per fraction
+        F.struct("fraction", F.struct("extra_pos", "extra_lost")))).alias("_extra"))
+
+    def row(one_list: Column) -> Column:
+        more = F.try_element_at(F.col("_extra"), one_list["fraction"])
+        pos = one_list["pos"] + F.coalesce(more["extra_pos"], F.lit(0))
+        lost = one_list["lost"] + F.coalesce(more["extra_lost"], F.lit(0.0))
+        precision = F.try_divide(pos, one_list["size"])
+        return F.struct(one_list["fraction"].alias("fraction"), one_list["size"].cast("long").alias("size"),
+                        precision.alias("precision"), F.try_divide(pos, F.col("tot_pos")).alias("recall"),
+                        F.try_divide(precision, F.col("tot_pos") / F.col("rows")).alias("lift"),
+                        F.try_divide(lost, F.col("tot_lost")).alias("value_captured"))
+    return one.join(named, by, "left").select(
+        *by, "auc", (F.col("auc") * 2 - 1).alias("gini"), "ks", F.transform("lists", row).alias("lists"))
+
+
+def top_lists(scores: DataFrame, totals: DataFrame, by: Sequence[str], fractions: Sequence[float],
+              key: str = "household_id") -> DataFrame:
+    """Precision, recall, lift and value captured by the ``round(n * fraction)`` riskiest rows."""
+    found = list_metrics(scores, totals, by, fractions, key)
+    return found.select(*by, F.explode("lists").alias("_l")).select(*by, "_l.*")
+
+
+def top_list(scores: DataFrame, totals: DataFrame, by: Sequence[str], fraction: float,
+             key: str = "household_id") -> DataFrame:
+    return top_lists(scores, totals, by, [fraction], key)
 
 
 def probability_metrics(scores: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -85,14 +120,11 @@ def calibration_deciles(scores: DataFrame, by: Sequence[str], key: str = "househ
 
 def model_comparison(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     by = list(by)
-    totals = score_totals(scores, by)
-    table = auc(totals, by).join(ks(totals, by), by)
-    for fraction in (0.05, 0.10):
-        tag = f"top_{round(fraction * 100)}"
-        top = top_list(scores, totals, by, fraction)
-        table = table.join(top.select(*by, *[F.col(c).alias(f"{c}_{tag}") for c in (
-            "precision", "recall", "lift", "value_captured")]), by, "left")
-    return table.join(probability_metrics(scores, by), by, "left")
+    fractions = (0.05, 0.10)
+    found = list_metrics(scores, score_totals(scores, by), by, fractions)
+    lists = [F.col("lists")[k][c].alias(f"{c}_top_{round(f * 100)}") for k, f in enumerate(fractions)
+             for c in ("precision", "recall", "lift", "value_captured")]
+    return found.select(*by, "auc", "gini", "ks", *lists).join(probability_metrics(scores, by), by, "left")
 
 
 def resample(scores: DataFrame, replicates: int, seed: int, key: str = "household_id") -> DataFrame:

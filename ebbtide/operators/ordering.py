@@ -1,31 +1,79 @@
 """Global and per-group order statistics without a single-task sort.
 
 A window ordered over a whole table runs in one task, and so does a window over a hot group.
-Every operator here first collapses equal values (map-side combine), then splits the value axis
-into order-preserving blocks: block totals are few, so the prefix over blocks is cheap, and the
-prefix inside a block is an ordinary distributed window.  Nothing is sampled or approximated.
+Every operator here cuts the ordered values of each group into blocks at splitters taken from the
+data: the values whose hash falls under a share set by the size of the group, so about
+``splitters`` of each group with more than ``LEAST_CUT`` values.  The choice depends on values only,
+never on the layout of tasks, so every job cuts alike.  Block totals are few, so the prefix over
+blocks is cheap, and the prefix inside a block is an ordinary distributed window.  The splitters
+only deal out the work; results are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import equal_frequency_bucket
 
-BLOCKS_PER_OCTAVE = 1024
+#: Groups with fewer different values stay one block.
+LEAST_CUT = 2_000
+#: Splitters per group and shuffle partition.
+CUTS_PER_TASK = 4
 
 
-def order_block(value: Column) -> Column:
-    """Monotone block number of a finite number: octave plus position inside the octave."""
-    x = value.cast("double")
-    size = F.abs(x)
-    octave = F.floor(F.log2(size))
-    inside = F.floor((size / F.pow(F.lit(2.0), octave) - 1.0) * BLOCKS_PER_OCTAVE)
-    block = ((octave + 1100) * BLOCKS_PER_OCTAVE + inside).cast("long")
-    return F.when(x > 0, block).when(x < 0, -block).otherwise(F.lit(0).cast("long"))
+def splitters(spark: SparkSession) -> int:
+    """Expected splitters of a large group."""
+    return CUTS_PER_TASK * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_blocks(points: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``points`` with ``_block``: a number that grows with (``order``) inside each group of ``by``.
+
+    Rows that agree on ``by`` and ``order`` share a block.
+    """
+    by, wanted = list(by), splitters(points.sparkSession)
+    key = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    drawn = F.pmod(F.xxhash64(*by, *order), F.lit(1 << 30))
+    sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= LEAST_CUT)
+    share = F.lit(1 << 30) * F.lit(float(wanted)) / F.col("_n")
+    # Some ``wanted`` rows of a group, whatever its size.
+    cuts = _matched(points, sizes, by, "inner").filter(drawn < share).groupBy(*by).agg(
+        F.array_sort(F.collect_set(key)).alias("_cuts"))
+    steps = F.array(*[F.lit(1 << k) for k in range((4 * wanted).bit_length(), -1, -1)])
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(F.col("_cuts"), at + step - 1) <= key, at + step).otherwise(at))
+    return _matched(points, cuts, by, "left").withColumn(
+        "_block", F.when(F.col("_cuts").isNull(), 0).otherwise(place)).drop("_cuts")
+
+
+def _matched(points: DataFrame, groups: DataFrame, by: Sequence[str], how: str,
+             on: Column | None = None) -> DataFrame:
+    """Join with a table of one row per group (and block); null groups match."""
+    if not by and on is None:
+        return points.join(F.broadcast(groups), F.lit(True), how)  # one row
+    same = on
+    for c in by:
+        equal = F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        same = equal if same is None else same & equal
+    renamed = groups.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    return points.join(renamed, same, how).drop(*[f"_g_{c}" for c in by])
+
+
+def _offsets(blocks: DataFrame, measures: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per block ``_off_m`` over earlier blocks and ``tot_m`` over the group."""
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select(
+        *by, F.col("_block").alias("_b"),
+        *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
+        *[F.sum(m).over(group).alias(f"tot_{m}") for m in measures])
+
+
+def _joined(points: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    return _matched(points, offsets, by, "inner", F.col("_block") == F.col("_b")).drop("_b")
 
 
 def running_totals(df: DataFrame, value: str, measures: Mapping[str, Column],
@@ -35,19 +83,12 @@ def running_totals(df: DataFrame, value: str, measures: Mapping[str, Column],
     ``m`` at this value, ``lt_m`` over all smaller values and ``tot_m`` over the group.
     """
     by = list(by)
-    points = (df.filter(F.col(value).isNotNull())
-                .groupBy(*by, value).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
-                .withColumn("_block", order_block(F.col(value))))
+    points = with_blocks(df.filter(F.col(value).isNotNull())
+                           .groupBy(*by, value).agg(*[F.sum(c).alias(m) for m, c in measures.items()]), [value], by)
     blocks = points.groupBy(*by, "_block").agg(*[F.sum(m).alias(m) for m in measures])
-    group = Window.partitionBy(*by)
-    before = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        *by, "_block",
-        *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
-        *[F.sum(m).over(group).alias(f"tot_{m}") for m in measures])
     inside = (Window.partitionBy(*by, "_block").orderBy(value)
                     .rowsBetween(Window.unboundedPreceding, -1))
-    return points.join(blocks, [*by, "_block"]).select(
+    return _joined(points, _offsets(blocks, list(measures), by), by).select(
         *by, value, *measures,
         *[(F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))).alias(f"lt_{m}")
           for m in measures],
@@ -57,24 +98,16 @@ def running_totals(df: DataFrame, value: str, measures: Mapping[str, Column],
 def row_ranks(df: DataFrame, value: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows of ``df`` with a unique 1-based ``row_rank`` by (value, tie) and the group ``row_count``.
 
-    ``tie`` is a numeric key.  A value shared by a third of the rows is split by blocks of the tie
-    key, so it never lands in one task.
+    Blocks are cut by (value, tie), so a value shared by a third of the rows never lands in one
+    task while ``tie`` tells its rows apart.
     """
-    by = list(by)
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_tie", order_block(F.col(tie)))
-    cells = rows.groupBy(*by, value, "_tie").agg(F.count(F.lit(1)).alias("_n"))
-    totals = running_totals(cells, value, {"_k": F.col("_n")}, by).drop("_k")
-    same_value = (Window.partitionBy(*by, value).orderBy("_tie")
-                        .rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select(*by, value, "_tie",
-                         F.coalesce(F.sum("_n").over(same_value), F.lit(0)).alias("_off"))
-    offsets = cells.join(totals, [*by, value]).select(
-        *by, value, "_tie", (F.col("_off") + F.col("lt__k")).alias("_off"),
-        F.col("tot__k").alias("row_count"))
-    inside = Window.partitionBy(*by, value, "_tie").orderBy(tie)
-    return (rows.join(offsets, [*by, value, "_tie"])
-                .withColumn("row_rank", F.col("_off") + F.row_number().over(inside))
-                .drop("_off", "_tie"))
+    by, order = list(by), list(dict.fromkeys([value, tie]))
+    rows = with_blocks(df.filter(F.col(value).isNotNull()), order, by)
+    blocks = rows.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_k"))
+    inside = Window.partitionBy(*by, "_block").orderBy(*order)
+    return (_joined(rows, _offsets(blocks, ["_k"], by), by)
+            .withColumn("row_rank", F.col("_off__k") + F.row_number().over(inside))
+            .withColumnRenamed("tot__k", "row_count").drop("_off__k", "_block"))
 
 
 def equal_freq_buckets(df: DataFrame, value: str, tie: str, buckets: int | Column,

@@ -268,8 +268,7 @@ def top_k_list(spark, sf):
 def top_k_metrics(spark, sf):
     s = src.scores(spark, sf)
     totals = evaluate.score_totals(s, ["model"])
-    return evaluate.top_list(s, totals, ["model"], 0.05).unionByName(
-        evaluate.top_list(s, totals, ["model"], 0.10))
+    return evaluate.top_lists(s, totals, ["model"], [0.05, 0.10])
 
 
 @query("calibration_deciles")

@@ -62,8 +62,51 @@ def test_buckets_are_nearly_equal_and_ordered(frame):
     assert got.n.between(299, 301).all() and (got.hi.values[:-1] <= got.lo.values[1:]).all()
 
 
-def test_order_block_is_monotone(spark):
-    values = sorted([0.0, -1e-9, 1e-9, 2.0 ** 40, 2.0 ** 40 - 1, -3.5, -3.4999, 7.0, 8.0, 1e12, -1e12])
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    blocks = [r[0] for r in df.orderBy("v").select(o.order_block(F.col("v"))).collect()]
-    assert blocks == sorted(blocks)
+def rows_per_task(df):
+    """Rows in each task that has some."""
+    return sorted(n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n)
+
+
+@pytest.mark.parametrize("kind", ["large ids", "scores near one", "one value", "lognormal", "two groups"])
+def test_any_values_are_dealt_to_all_tasks(spark, kind):
+    n, tasks = 40_000, 8
+    base = spark.range(n).withColumn("g", F.lit(1))
+    value = {"large ids": F.lit(10 ** 15) + F.col("id"), "scores near one": 0.999 + F.col("id") / (n * 1000.0),
+             "one value": F.when(F.col("id") % 3 > 0, 7.0).otherwise(F.col("id")),
+             "lognormal": F.exp(F.col("id") % 1000 / 50.0) + F.col("id") / 1e6, "two groups": F.col("id").cast("double")}[kind]
+    df = base.withColumn("v", value)
+    if kind == "two groups":
+        df = df.withColumn("g", F.when(F.col("id") % 3 == 0, 1).otherwise(F.when(F.col("id") % 1000 == 1, None).otherwise(2)))
+    keys = {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        ranked = o.row_ranks(df, "v", "id", ["g"])
+        load = rows_per_task(ranked)
+        assert len(load) == tasks and load[-1] < 3 * n / tasks and sum(load) == n
+        if kind != "one value":
+            load = rows_per_task(o.running_totals(df, "v", {"n": F.lit(1)}, ["g"]))
+            assert len(load) == tasks and load[-1] < 3 * n / tasks
+        got = ranked.toPandas().sort_values(["g", "row_rank"])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = got.sort_values(["g", "v", "id"])
+    assert got["id"].tolist() == want["id"].tolist()
+    assert (got.groupby("g", dropna=False).row_rank.max() == got.groupby("g", dropna=False).size()).all()
+
+
+def test_blocks_grow_with_the_value_and_split_no_tie(spark):
+    df = spark.range(30_000).select((F.col("id") % 15_000 - 2_500).cast("double").alias("v"))
+    got = o.with_blocks(df, ["v"]).groupBy("v").agg(F.min("_block").alias("a"), F.max("_block").alias("b")).orderBy("v").toPandas()
+    assert (got.a == got.b).all() and got.a.is_monotonic_increasing and got.a.nunique() > 3
+
+
+def test_odd_values_have_an_order(spark):
+    rows = [(float("nan"),), (float("inf"),), (-float("inf"),), (0.0,), (None,), (1.5,)] * 2
+    got = o.running_totals(spark.createDataFrame(rows, "v double"), "v", {"n": F.lit(1)}).orderBy("v").collect()
+    assert [(r.n, r.lt_n, r.tot_n) for r in got] == [(2, 2 * k, 10) for k in range(5)]
+    assert o.row_ranks(spark.createDataFrame([], "v double, id long"), "v", "id").count() == 0
+    whole = spark.createDataFrame([(2 ** 53 + k,) for k in range(5)], "v long")
+    assert [r.lt_n for r in o.running_totals(whole, "v", {"n": F.lit(1)}).orderBy("v").collect()] == [0, 1, 2, 3, 4]
