@@ -93,7 +93,7 @@ def woe_table(binned: DataFrame) -> DataFrame:
     good = (F.col("non_events") + SMOOTHING) / (F.sum("non_events").over(variable)
                                                 + count * SMOOTHING)
     bad = (F.col("events") + SMOOTHING) / (F.sum("events").over(variable) + count * SMOOTHING)
-    order = variable.orderBy(F.col("kind") == "null", "low")
+    order = variable.orderBy(F.col("kind") == "null", "low", "high", "kind", "bin_key")
     woe = F.log(bad / good)
     return cells.select(
         "variable", "kind", "bin_key", (F.row_number().over(order) - 1).alias("bin_index"), "low",

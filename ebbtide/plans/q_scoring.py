@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.contract import CALIBRATION_TARGETS, PRIMARY_COLUMNS
 from ebbtide.functions.columns import text_rule
-from ebbtide.operators import calibration, evaluate, models, profiles, woe
+from ebbtide.operators import boosting, calibration, evaluate, models, profiles, woe
 from ebbtide.operators.labels import stratified_split
 from ebbtide.operators.lineage import cut_lineage
 from ebbtide.plans import features as plan
@@ -14,22 +14,23 @@ from ebbtide.plans.registry import query
 from ebbtide.sources import adapters as src
 
 P = plan.DEFAULT
-VARIABLES = ["aum_outflow_pct_90d", "deposit_balance_change_pct_90d", "net_deposit_flow_pct_90d",
-             "aum_vs_baseline_pct", "relationship_value", "tenure_years"]
+CONTEXT = ["log_relationship_value", "tenure_years", "age_primary", "is_uhnw", "has_investments", "has_trust",
+           "has_credit_anchor", "has_linked_business"]
+PRIMARIES = [c for c in PRIMARY_COLUMNS.values() if c != "multi_signal_flag"] + ["multi_signal_count"]
+VARIABLES = PRIMARIES + CONTEXT
 
 
 def frame(spark, sf):
-    """Eligible households with a few variables, rounded so that equal ratios stay equal.
+    """The model frame of the eligible households: all primaries and context columns, and the labels.
 
-    The frame is read several times (mass points, ranks, bins), so it is written once.
+    Values are rounded so that equal ratios stay equal.  The frame is read several times (mass
+    points, ranks, bins, models), so it is written once.
     """
-    h = src.household(spark, sf).filter(~F.col("churn_excluded")).select(
-        "household_id", "segment", "hard_churn_6m", "soft_churn_3m", "relationship_value",
-        "tenure_years")
-    b = plan.balances(spark, sf).select("household_id", *VARIABLES[:4])
-    return cut_lineage(h.join(b, "household_id").select(
-        "household_id", "segment", "hard_churn_6m", "soft_churn_3m",
-        *[F.round(c, 9).alias(c) for c in VARIABLES]))
+    context = {"log_relationship_value": F.log("relationship_value"), "is_uhnw": F.col("segment") == "UHNW"}
+    value = lambda c: F.round(context.get(c, F.col(c)).cast("double"), 9).alias(c)
+    rows = plan.full_base(spark, sf).filter(~F.col("churn_excluded"))
+    return cut_lineage(rows.select("household_id", "segment", "hard_churn_6m", "soft_churn_3m", "relationship_value",
+                                   "external_outflow_pct_30d", "external_outflow_pct_90d", *map(value, VARIABLES)))
 
 
 def _long(spark, sf):
@@ -127,31 +128,47 @@ def woe_logistic(spark, sf):
 
 
 def _model_rows(spark, sf):
+    """The frame with the monthly sequence and the split, and the names of the sequence columns."""
     sequence = profiles.log_relative_sequence(src.monthly(spark, sf))
     rows = stratified_split(frame(spark, sf), "hard_churn_6m", "household_id", P)
-    return cut_lineage(rows.join(sequence, "household_id")), [c for c in sequence.columns if c.startswith("seq_")]
+    return (cut_lineage(rows.join(sequence, "household_id", "left")),
+            [c for c in sequence.columns if c.startswith("seq_")])
+
+
+def fitted_scores(spark, sf):
+    """Every household of the frame with its split and the probabilities of the fitted models."""
+    rows, sequence = _model_rows(spark, sf)
+    fitted = models.fit_models(rows.filter("split = 'train'"), VARIABLES, sequence, "hard_churn_6m")
+    kept = rows.select("household_id", "split", "segment", F.col("hard_churn_6m").alias("label"),
+                       F.col("relationship_value").alias("value"))
+    return models.predict(fitted, rows).join(kept, "household_id")
 
 
 @query("score_all_models")
 def score_all_models(spark, sf):
     """Boosted trees, logistic and neural probabilities of every household with its split."""
-    rows, sequence = _model_rows(spark, sf)
-    fitted = models.fit_models(rows.filter("split = 'train'"), VARIABLES, sequence, "hard_churn_6m",
-                               iterations=10, mlp_iterations=20)
-    return models.predict(fitted, rows, "hard_churn_6m").join(
-        rows.select("household_id", "split"), "household_id")
+    return fitted_scores(spark, sf).drop("segment", "label", "value")
+
+
+@query("fitted_model_comparison")
+def fitted_model_comparison(spark, sf):
+    """The evaluation table of the fitted models on the test share, with the expert and rule scores."""
+    scores = fitted_scores(spark, sf).filter("split = 'test'")
+    plain = evaluate.expert_scorecard(plan.seven_groups(spark, sf)).join(business_rules(spark, sf), "household_id")
+    names = {"trees": "trees_prob", "linear": "linear_prob", "neural": "neural_prob", "expert": "expert_score", "rules": "rules_score"}
+    rows = scores.join(plain, "household_id", "left")
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("score"), (
+        F.col(c) if c.endswith("_prob") else F.lit(None)).cast("double").alias("prob")) for m, c in names.items()])
+    long = rows.select("household_id", "segment", "label", "value", F.explode(pairs).alias("p")).select(
+        "household_id", "segment", "label", "value", "p.*")
+    return evaluate.model_comparison(cut_lineage(long))
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    rows, sequence = _model_rows(spark, sf)
-    cols = ["relationship_value", "tenure_years"]
-    train = rows.filter("split = 'train'")
-    fitted = models.fit_models(train, cols, sequence[:2], "hard_churn_6m", iterations=5,
-                               mlp_iterations=5)
-    test = models._numeric(rows.filter("split = 'test'").withColumnRenamed("hard_churn_6m", "y"),
-                           fitted["columns"]).withColumn("is_validation", F.lit(False))
-    return models.permutation_importance(fitted["trees"], test, cols)
+    rows, _ = _model_rows(spark, sf)
+    trees = boosting.fit(rows.filter("split = 'train'"), VARIABLES, "hard_churn_6m")
+    return models.permutation_importance(trees, rows.filter("split = 'test'"), "hard_churn_6m")
 
 
 @query("logit_wald")
@@ -167,7 +184,7 @@ def ols_wald(spark, sf):
 
 @query("combined_auc")
 def combined_auc(spark, sf):
-    area = models.combined_auc(frame(spark, sf), VARIABLES, "soft_churn_3m")
+    area = models.combined_auc(frame(spark, sf), PRIMARIES, "soft_churn_3m")
     return spark.createDataFrame([("soft_churn_3m", area)], "label string, auc double")
 
 
@@ -181,34 +198,23 @@ def sort_by_abs(spark, sf):
 def calibration_run_gate(spark, sf):
     """Calibration repeated per run; here the runs are the two halves of the split."""
     rows = cut_lineage(stratified_split(frame(spark, sf), "hard_churn_6m", "household_id", P))
-    runs = [calibration.variable_calibration(rows.filter(F.col("split") == s), CALIBRATED,
+    runs = [calibration.variable_calibration(rows.filter(F.col("split") == s), CALIBRATION_TARGETS,
                                              "hard_churn_6m", P) for s in ("train", "test")]
-    return calibration.run_gate(runs[0].unionByName(runs[1]), CALIBRATED, P)
+    return calibration.run_gate(runs[0].unionByName(runs[1]), CALIBRATION_TARGETS, P)
 
 
 @query("spearman_matrix")
 def spearman_matrix(spark, sf):
-    h = src.household(spark, sf)
-    matrix = models.correlation_matrix(h.select(*[F.col(c).cast("double") for c in (
-        "relationship_value", "deposit_balance", "tenure_years", "age_primary")]), [
-        "relationship_value", "deposit_balance", "tenure_years", "age_primary"], "spearman")
-    return spark.createDataFrame([(a, b, v) for (a, b), v in matrix.items() if a < b],
-                                 "left_column string, right_column string, rho double")
+    """Every pair of primaries over the households that have both."""
+    return models.spearman_pairs(frame(spark, sf), PRIMARIES).drop("rows")
 
 
 @query("model_frame")
 def model_frame(spark, sf):
-    """The 37 primaries (count instead of flag), eight context columns and the labels."""
+    """The 37 primaries (count instead of flag), eight context columns, the sequence and the labels."""
     from ebbtide.plans.q_ledgers import churn
-    full = plan.full_base(spark, sf)
-    primaries = [c for c in PRIMARY_COLUMNS.values() if c != "multi_signal_flag"]
-    context = [F.log("relationship_value").alias("log_relationship_value"), "tenure_years",
-               "age_primary", (F.col("segment") == "UHNW").cast("int").alias("is_uhnw"),
-               *[F.col(c).cast("int").alias(c) for c in ("has_investments", "has_trust",
-                                                         "has_credit_anchor", "has_linked_business")]]
-    rows = full.filter(~F.col("churn_excluded")).select(
-        "household_id", "segment", *primaries, "multi_signal_count", *context)
-    return rows.join(churn(spark, sf), "household_id")
+    rows, sequence = _model_rows(spark, sf)
+    return rows.select("household_id", "segment", *VARIABLES, *sequence).join(churn(spark, sf), "household_id")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -294,11 +300,8 @@ def lift_alert(spark, sf):
     return evaluate.lift_of_alert(rows, "alert", "hard_churn_6m")
 
 
-CALIBRATED = {c: CALIBRATION_TARGETS[c] for c in VARIABLES[:4]}
-
-
 def variable_calibration_frame(spark, sf):
-    return calibration.variable_calibration(frame(spark, sf), CALIBRATED, "hard_churn_6m", P)
+    return calibration.variable_calibration(frame(spark, sf), CALIBRATION_TARGETS, "hard_churn_6m", P)
 
 
 @query("variable_calibration")
@@ -308,12 +311,13 @@ def variable_calibration(spark, sf):
 
 @query("final_variable_report")
 def final_variable_report(spark, sf):
-    """NULL share, alert share, IV and lift of every primary variable of the assembled base."""
-    base = cut_lineage(plan.full_base(spark, sf).filter(~F.col("churn_excluded")))
-    targets = {c: t for c, t in CALIBRATION_TARGETS.items() if c in base.columns}
-    return calibration.variable_calibration(base, targets, "hard_churn_6m", P)
+    """Catalogue id, target, NULL share, alert share, IV, lift and trend of every primary variable."""
+    ids = {c.replace("multi_signal_flag", "multi_signal_count"): i for i, c in PRIMARY_COLUMNS.items()}
+    listed = spark.createDataFrame([(v, ids[v], *map(float, t[1:5])) for v, t in CALIBRATION_TARGETS.items()],
+                                   "variable string, variable_id int, rate_low double, rate_high double, iv_low double, iv_high double")
+    return variable_calibration_frame(spark, sf).join(F.broadcast(listed), "variable")
 
 
 @query("calibration_gate")
 def calibration_gate(spark, sf):
-    return calibration.calibration_gate(variable_calibration_frame(spark, sf), CALIBRATED, P)
+    return calibration.calibration_gate(variable_calibration_frame(spark, sf), CALIBRATION_TARGETS, P)

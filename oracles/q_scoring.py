@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracles import q_ledgers  # noqa: F401 - registers the churn table
+from ebbtide.contract import CALIBRATION_TARGETS, PRIMARY_COLUMNS
 from oracles.ctes import CTES, build, rounded
 
 SQL: dict[str, str] = {}
@@ -13,11 +14,23 @@ def add(name: str, exact: str, doubles, sql: str, **local: str) -> None:
     SQL[name] = build(rounded("final_q", [c.strip() for c in exact.split(",") if c.strip()], doubles), final_q=sql, **local)
 
 
-VARS = ["aum_outflow_pct_90d", "deposit_balance_change_pct_90d", "net_deposit_flow_pct_90d", "aum_vs_baseline_pct", "relationship_value", "tenure_years"]
-CTES["frame"] = "SELECT h.household_id, h.segment, hard_churn_6m, soft_churn_3m, " + ", ".join(
-    f"(CASE WHEN abs({p}{c}) < 5e-10::DOUBLE THEN 0.0::DOUBLE ELSE round({p}{c}, 9) END) AS {c}" for p, c in [("f.", v) for v in VARS[:4]] + [("h.", v) for v in VARS[4:]]
-) + " FROM household h JOIN f_balances f ON h.household_id = f.household_id WHERE NOT churn_excluded"
-CTES["long_frame"] = " UNION ALL ".join(f"SELECT household_id AS id, '{v}' AS variable, {v}::DOUBLE AS value, hard_churn_6m AS y FROM frame" for v in VARS)
+_FRAME = {**{c: c for c in PRIMARY_COLUMNS.values() if c != "multi_signal_flag"}, "multi_signal_count": "multi_signal_count",
+          "log_relationship_value": "ln(relationship_value)", "tenure_years": "tenure_years", "age_primary": "age_primary",
+          "is_uhnw": "CAST(segment = 'UHNW' AS INTEGER)", "has_investments": "CAST(has_investments AS INTEGER)", "has_trust": "CAST(has_trust AS INTEGER)",
+          "has_credit_anchor": "CAST(has_credit_anchor AS INTEGER)", "has_linked_business": "CAST(has_linked_business AS INTEGER)"}
+CTES["frame"] = "SELECT household_id, segment, hard_churn_6m, soft_churn_3m, relationship_value, external_outflow_pct_30d, external_outflow_pct_90d, " + ", ".join(
+    f"(CASE WHEN abs({e}) < 5e-10::DOUBLE THEN 0.0::DOUBLE ELSE round(({e})::DOUBLE, 9) END) AS {c}" for c, e in _FRAME.items()
+) + """ FROM household JOIN features USING (household_id) JOIN f_composite USING (household_id) JOIN f_bureau USING (household_id)
+WHERE NOT churn_excluded"""
+
+
+def long_of(columns: dict[str, str]) -> str:
+    """Long form of columns of the frame: name to expression."""
+    return (f"SELECT household_id AS id, hard_churn_6m AS y, unnest([{', '.join(repr(c) for c in columns)}]) AS variable, "
+            f"unnest([{', '.join(f'({e})::DOUBLE' for e in columns.values())}]) AS value FROM frame")
+
+
+CTES["long_frame"] = long_of({c: c for c in _FRAME})
 
 
 def bins(prefix: str, source: str) -> None:
@@ -38,7 +51,7 @@ def woe(prefix: str, source: str) -> None:
 SELECT *, ln(bad / good) AS woe, (bad - good) * ln(bad / good) AS iv, ev / (ev + nev) AS event_rate FROM (
   SELECT *, (nev + 0.5::DOUBLE) / (sum(nev) OVER (PARTITION BY variable) + 0.5::DOUBLE * count(*) OVER (PARTITION BY variable)) AS good,
     (ev + 0.5::DOUBLE) / (sum(ev) OVER (PARTITION BY variable) + 0.5::DOUBLE * count(*) OVER (PARTITION BY variable)) AS bad,
-    CAST(row_number() OVER (PARTITION BY variable ORDER BY kind = 'null', low) - 1 AS INTEGER) AS bin_index
+    CAST(row_number() OVER (PARTITION BY variable ORDER BY kind = 'null', low, high, kind, bk) - 1 AS INTEGER) AS bin_index
   FROM (SELECT variable, kind, bk, min(value) AS low, max(value) AS high, CAST(sum(1 - y) AS BIGINT) AS nev, CAST(sum(y) AS BIGINT) AS ev FROM {source} GROUP BY 1, 2, 3) a) b"""
 
 
@@ -73,14 +86,16 @@ FROM (SELECT *, woe - min(woe) OVER (PARTITION BY variable) AS raw FROM we_woe)
 add("points_table", "variable, bin_index, n_train", "points", "SELECT * FROM pts_table")
 add("scorecard_score", "household_id", "score", """SELECT id AS household_id, sum(points) AS score FROM edge_bin b JOIN pts_table p ON b.variable = p.variable AND b.kind = p.kind AND b.bk = p.bk GROUP BY 1""")
 add("pearson_pair", "", "rho", "SELECT corr(ln(salary_base_annual), ln(relationship_value)) AS rho FROM household WHERE salary_base_annual IS NOT NULL")
-_RK = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS r_{c}"
-_SC = ["age_primary", "deposit_balance", "relationship_value", "tenure_years"]
-add("spearman_matrix", "left_column, right_column", "rho", " UNION ALL ".join(f"SELECT '{a}' AS left_column, '{b}' AS right_column, corr(r_{a}, r_{b}) AS rho FROM sranks"
-    for i, a in enumerate(_SC) for b in _SC[i + 1:]), sranks="SELECT " + ", ".join(_RK(c) for c in _SC) + " FROM household")
-
-add("sort_by_abs", "left_column, right_column", "rho", "SELECT * FROM sp WHERE abs(rho) >= 0.01::DOUBLE", sp=" UNION ALL ".join(
-    f"SELECT '{a}' AS left_column, '{b}' AS right_column, corr(r_{a}, r_{b}) AS rho FROM sranks" for i, a in enumerate(_SC) for b in _SC[i + 1:]),
-    sranks="SELECT " + ", ".join(_RK(c) for c in _SC) + " FROM household")
+CTES["pairs"] = """SELECT a.variable AS left_column, b.variable AS right_column, a.value AS x, b.value AS y FROM long_frame a
+JOIN long_frame b ON a.id = b.id AND a.variable < b.variable AND a.value IS NOT NULL AND b.value IS NOT NULL
+WHERE a.variable NOT IN (SELECT unnest({c})) AND b.variable NOT IN (SELECT unnest({c}))""".format(c=list(_FRAME)[-8:])
+CTES["pair_ranks"] = """SELECT left_column, right_column,
+  rank() OVER (PARTITION BY left_column, right_column ORDER BY x) + (count(*) OVER (PARTITION BY left_column, right_column, x) - 1) / 2 AS rx,
+  rank() OVER (PARTITION BY left_column, right_column ORDER BY y) + (count(*) OVER (PARTITION BY left_column, right_column, y) - 1) / 2 AS ry FROM pairs"""
+CTES["sp"] = """SELECT left_column, right_column, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS rho
+FROM pair_ranks GROUP BY 1, 2"""
+add("spearman_matrix", "left_column, right_column", "rho", "SELECT * FROM sp")
+add("sort_by_abs", "left_column, right_column", "rho", "SELECT * FROM sp WHERE abs(rho) >= 0.01::DOUBLE")
 
 add("business_rules", "household_id", "rules_score", """SELECT c.household_id, CAST(coalesce(relationship_dissatisfaction_flag = 1, false) OR complaint_age_days > 30 OR contact_gap_ratio > 2 AS INTEGER)::DOUBLE AS rules_score
 FROM f_complaints c JOIN f_banker b ON c.household_id = b.household_id""")
@@ -118,16 +133,29 @@ add("model_comparison", "model", "auc gini ks mean_prob observed brier " + " ".j
 add("lift_alert", "", "rate_in rate_out lift", """SELECT *, rate_in / rate_out AS lift FROM (SELECT avg(hard_churn_6m) FILTER (WHERE aum_outflow_pct_90d > 0.1::DOUBLE) AS rate_in,
   avg(hard_churn_6m) FILTER (WHERE aum_outflow_pct_90d <= 0.1::DOUBLE) AS rate_out FROM frame) q""")
 
-_RULES = {"aum_outflow_pct_90d": (">", "0.1", 1, .04, .16, .1, .3), "deposit_balance_change_pct_90d": ("<=", "-0.25", -1, .04, .16, .1, .3),
-          "net_deposit_flow_pct_90d": ("<=", "-0.15", -1, .06, .32, .1, .3), "aum_vs_baseline_pct": ("<=", "-0.2", -1, .04, .16, .1, .3)}
-CTES["calib"] = "SELECT a.variable, alert_rate, iv, i / o AS lift, trend_z * dir AS trend_z, null_pct FROM (" + " UNION ALL ".join(
-    f"""SELECT '{v}' AS variable, {d} AS dir, avg(CAST({v} {op} {th}::DOUBLE AS INTEGER)) AS alert_rate, avg(hard_churn_6m) FILTER (WHERE {v} {op} {th}::DOUBLE) AS i,
-  avg(hard_churn_6m) FILTER (WHERE NOT ({v} {op} {th}::DOUBLE)) AS o, 100 * avg(CAST({v} IS NULL AS INTEGER)) AS null_pct FROM frame""" for v, (op, th, d, *_) in _RULES.items()
-) + """) a JOIN (SELECT variable, sum(iv) AS iv FROM wq_woe GROUP BY 1) b ON a.variable = b.variable JOIN trend c ON a.variable = c.variable"""
-CTES["trend"] = _CA.format("wq_woe")
+_NAMED = {"accel": "external_transfer_acceleration > 0 AND external_outflow_pct_30d > 0.05::DOUBLE",
+          "hhi": "external_destination_concentration > 0.7::DOUBLE AND external_outflow_pct_90d > 0.10::DOUBLE"}
+_ALERT = {v: f"coalesce({_NAMED.get(t[0]) or f'{v} {t[0]}::DOUBLE'}, false)" for v, t in CALIBRATION_TARGETS.items()}
+CTES["calib_rows"] = ("SELECT household_id AS id, hard_churn_6m AS y, unnest([" + ", ".join(repr(v) for v in _ALERT) + "]) AS variable, unnest(["
+    + ", ".join(f"{v}::DOUBLE" for v in _ALERT) + "]) AS value, unnest([" + ", ".join(_ALERT.values()) + "]) AS alert, unnest(["
+    + ", ".join(str(t[5] == "all").lower() for t in CALIBRATION_TARGETS.values()) + "]) AS keeps, unnest(["
+    + ", ".join("-1" if t[0].startswith("<") else "1" for t in CALIBRATION_TARGETS.values()) + "]) AS dir FROM frame")
+CTES["long_calib"] = "SELECT id, y, variable, value FROM calib_rows WHERE value IS NOT NULL OR keeps"
+bins("wk", "long_calib")
+CTES["trend"] = _CA.format("wk_woe")
+CTES["calib"] = """SELECT a.variable, alert_rate, iv, i / nullif(o, 0) AS lift, trend_z * dir AS trend_z, null_pct FROM (
+  SELECT variable, max(dir) AS dir, avg(CAST(alert AS INTEGER)) FILTER (WHERE value IS NOT NULL) AS alert_rate,
+    avg(y) FILTER (WHERE value IS NOT NULL AND alert) AS i, avg(y) FILTER (WHERE value IS NOT NULL AND NOT alert) AS o,
+    100 * avg(CAST(value IS NULL AS INTEGER)) AS null_pct FROM calib_rows GROUP BY 1) a
+JOIN (SELECT variable, sum(iv) AS iv FROM wk_woe GROUP BY 1) b ON a.variable = b.variable LEFT JOIN trend c ON a.variable = c.variable"""
 add("variable_calibration", "variable", "alert_rate iv lift trend_z null_pct", "SELECT * FROM calib")
+_IDS = {c.replace("multi_signal_flag", "multi_signal_count"): i for i, c in PRIMARY_COLUMNS.items()}
+add("final_variable_report", "variable, variable_id", "alert_rate iv lift trend_z null_pct rate_low rate_high iv_low iv_high", "SELECT c.*, t.* EXCLUDE (variable) FROM calib c JOIN targets t ON c.variable = t.variable",
+    targets=" UNION ALL ".join(f"SELECT '{v}' AS variable, {_IDS[v]} AS variable_id, {a}::DOUBLE AS rate_low, {b}::DOUBLE AS rate_high, {c}::DOUBLE AS iv_low, {d}::DOUBLE AS iv_high"
+                               for v, (_, a, b, c, d, _) in CALIBRATION_TARGETS.items()))
 add("calibration_gate", "variable, check_name, ok", "value", " UNION ALL ".join(
-    f"SELECT c.variable, '{n}' AS check_name, {n2} AS value, {cond} AS ok FROM calib c JOIN bands b ON c.variable = b.variable" for n, n2, cond in (
+    f"SELECT c.variable, '{n}' AS check_name, {n2} AS value, coalesce({cond}, false) AS ok FROM calib c JOIN bands b ON c.variable = b.variable" for n, n2, cond in (
         ("alert_rate", "alert_rate", "alert_rate BETWEEN rl AND rh"), ("iv", "iv", "iv BETWEEN il - 0.03::DOUBLE AND ih + 0.03::DOUBLE"),
         ("lift", "lift", "lift >= 1.5"), ("trend", "trend_z", "trend_z > 2.3263478740408408::DOUBLE"))),
-    bands=" UNION ALL ".join(f"SELECT '{v}' AS variable, {a}::DOUBLE AS rl, {b}::DOUBLE AS rh, {c}::DOUBLE AS il, {d}::DOUBLE AS ih" for v, (_, _, _, a, b, c, d) in _RULES.items()))
+    bands=" UNION ALL ".join(f"SELECT '{v}' AS variable, {a}::DOUBLE AS rl, {b}::DOUBLE AS rh, {c}::DOUBLE AS il, {d}::DOUBLE AS ih"
+                             for v, (_, a, b, c, d, _) in CALIBRATION_TARGETS.items()))
