@@ -134,7 +134,8 @@ def evaluate_stops(ledger: DataFrame, params: Params) -> DataFrame:
         *KEYS, (-stop_threshold(F.col("interval"), params)).alias("end"))
     again = payments.filter(two_pass).drop("end").join(thresholds, KEYS)
     second = detect_recurring(again, KEYS, params).join(thresholds, KEYS)
-    single = first.filter(~two_pass).withColumn("end", F.lit(-float(params.business_stop_days)))
+    single = first.filter(~two_pass).withColumn("end", F.when(
+        F.col("case") == "change", -float(params.change_gap_days)).otherwise(-float(params.business_stop_days)))
     patterns = cut_lineage(second.unionByName(single))
     capped = payments.join(patterns.select(*KEYS, "median_amount"), KEYS)
     cap = F.when(F.col("bonus_rule"), F.col("median_amount") * params.bonus_multiple) \
@@ -353,17 +354,28 @@ def _relational_plan(ledger: DataFrame, events: DataFrame, params: Params) -> Da
 ARRAY_PLAN_PAYMENTS = 200_000
 
 
+def by_size(ledger: DataFrame, limit: int = ARRAY_PLAN_PAYMENTS) -> tuple[DataFrame, DataFrame | None]:
+    """The ledger of the households with up to ``limit`` payments, and that of the others, if any."""
+    hot = cut_lineage(ledger.groupBy("household_id").count().filter(F.col("count") > limit).select("household_id"))
+    if hot.isEmpty():
+        return ledger, None
+    return ledger.join(hot, "household_id", "left_anti"), ledger.join(hot, "household_id", "left_semi")
+
+
+def stream_stops(ledger: DataFrame, params: Params, limit: int = ARRAY_PLAN_PAYMENTS) -> DataFrame:
+    """Pattern and stop decision of every (household, case, stream), whatever the size of a household."""
+    columns = [*KEYS, "exists", "interval", "median_amount", "last_day", "stopped"]
+    usual, heavy = by_size(ledger, limit)
+    rows = array_stops(usual, params).select(*columns)
+    return rows if heavy is None else rows.unionByName(evaluate_stops(heavy, params).select(*columns))
+
+
 def recurring_decisions(ledger: DataFrame, events: DataFrame, params: Params,
                         limit: int = ARRAY_PLAN_PAYMENTS) -> DataFrame:
     """Array plan below the checked payment limit, relational plan for the households above it."""
-    hot = (ledger.groupBy("household_id").count().filter(F.col("count") > limit)
-                 .select("household_id"))
-    if hot.isEmpty():
-        return _array_plan(ledger, events, params)
-    hot = cut_lineage(hot)  # at most rows / limit keys
-    usual = ledger.join(F.broadcast(hot), "household_id", "left_anti")
-    heavy = ledger.join(F.broadcast(hot), "household_id", "left_semi")
-    return _array_plan(usual, events, params).unionByName(_relational_plan(heavy, events, params))
+    usual, heavy = by_size(ledger, limit)
+    rows = _array_plan(usual, events, params)
+    return rows if heavy is None else rows.unionByName(_relational_plan(heavy, events, params))
 
 
 def recurring_variables(ledger: DataFrame, events: DataFrame, household: DataFrame,

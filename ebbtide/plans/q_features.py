@@ -145,13 +145,13 @@ def product_return(spark, sf):
 
 
 def _stops(spark, sf):
-    return recurring.array_stops(src.recurring_tx(spark, sf), plan.EVENT_PARAMS)
+    return recurring.stream_stops(src.recurring_tx(spark, sf), plan.EVENT_PARAMS)
 
 
 @query("detect_recurring")
 def detect(spark, sf):
     """Second-pass pattern of every stream with a payment in its look-back."""
-    stops = _stops(spark, sf).filter("median_amount IS NOT NULL AND case IN ('salary', 'flows')")
+    stops = _stops(spark, sf).filter("median_amount IS NOT NULL")
     return stops.select("household_id", F.col("case").alias("evaluation"), "stream",
                         F.col("exists").alias("pattern_exists"),
                         "interval", "median_amount").withColumnRenamed("interval", "interval_days")

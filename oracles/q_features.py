@@ -95,8 +95,8 @@ SQL["conditional_sum_by_month"] = build(rounded("s", ["household_id", "month"],
   coalesce(sum(amount) FILTER (WHERE category <> 'move_acats'), 0) AS deposits_out FROM transfer WHERE category <> 'incoming' GROUP BY 1, 2""")
 SQL["product_compound_return"] = build(rounded("p", ["household_id"], ["return_12m"]),
     p="SELECT household_id, product(1 + portfolio_return) - 1 AS return_12m FROM monthly_return WHERE month > -12 GROUP BY 1")
-SQL["detect_recurring"] = build(rounded("d", ["household_id", "evaluation", "stream", "pattern_exists"], ["interval_days", "median_amount"]),
-    d="SELECT household_id, cs AS evaluation, stream, ex AS pattern_exists, itv AS interval_days, med AS median_amount FROM det2")
+SQL["detect_recurring"] = build(rounded("found_patterns", ["household_id", "evaluation", "stream", "pattern_exists"], ["interval_days", "median_amount"]),
+    found_patterns="SELECT household_id, cs AS evaluation, stream, ex AS pattern_exists, itv AS interval_days, med AS median_amount FROM stops WHERE med IS NOT NULL")
 SQL["evaluate_stop"] = build("SELECT household_id, cs AS evaluation, stream, CAST(ld AS INTEGER) AS last_day, stopped FROM stops WHERE ex AND cs <> 'change'")
 SQL["last_credit"] = build("SELECT household_id, stream, max(day) FILTER (WHERE amount <= 100) AS last_day FROM recurring_tx GROUP BY 1, 2")
 _GAPS = """SELECT household_id, stream, count(*) AS payments, count(gap) AS gap_count, avg(gap) AS gap_mean,

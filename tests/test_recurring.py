@@ -68,3 +68,10 @@ def test_both_plans_decide_alike_at_the_bonus_limit(spark):
                                    "death_reported boolean, business_sale boolean")
     rows = [r.recurring_decisions(ledger, events, Params(), limit).first() for limit in (1000, 1)]
     assert rows[0].asDict() == rows[1].asDict()
+
+
+def test_stops_of_hot_households_equal_those_of_usual_ones(spark):
+    ledger = src.recurring_tx(spark, SF)
+    rows = [sorted(tuple(v) for v in r.stream_stops(ledger, plan.EVENT_PARAMS, limit).filter("median_amount IS NOT NULL").collect())
+            for limit in (200_000, 40, 0)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 50
