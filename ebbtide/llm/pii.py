@@ -88,17 +88,17 @@ def _merged(spans: DataFrame) -> DataFrame:
 
 
 def _replaced() -> Column:
-    """``__text`` with each of ``cuts`` (from, before, end, tag) replaced by its tag."""
+    """``__text`` with each of ``__cuts`` (from, before, end, tag) replaced by its tag."""
     return F.concat(
-        F.array_join(F.transform("cuts", lambda s: F.concat(
+        F.array_join(F.transform("__cuts", lambda s: F.concat(
             F.substring(F.col("__text"), (s["before"] + 1).cast("int"), (s["from"] - s["before"]).cast("int")), s["tag"])), ""),
-        F.substring(F.col("__text"), (F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length("__text")))
+        F.substring(F.col("__text"), (F.element_at("__cuts", -1)["end"] + 1).cast("int"), F.length("__text")))
 
 
 def _blanked(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with entities (__place, __text), each entity blanked by as many spaces."""
     cuts = (_merged(found).groupBy("__place").agg(F.sort_array(F.collect_list(F.struct(
-        "from", "before", "end", F.repeat(F.lit(" "), (F.col("end") - F.col("from")).cast("int")).alias("tag")))).alias("cuts")))
+        "from", "before", "end", F.repeat(F.lit(" "), (F.col("end") - F.col("from")).cast("int")).alias("tag")))).alias("__cuts")))
     return docs.join(if_small(cuts, found), "__place").select("__place", _replaced().alias("__text"))
 
 
@@ -207,7 +207,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
                           .when(F.col("how") == "remove", "")
                           .otherwise(F.concat(F.lit("["), F.upper(F.get(F.array(*[F.lit(k) for k in (*KINDS, "term")]),
                                                                         F.col("kind"))), F.lit("]"))))
-              .groupBy("__place").agg(F.sort_array(F.collect_list(F.struct("from", "before", "end", "tag"))).alias("cuts")))
+              .groupBy("__place").agg(F.sort_array(F.collect_list(F.struct("from", "before", "end", "tag"))).alias("__cuts")))
     return (placed.join(merged, "__place", "left")
-            .select(*[F.when(F.col("cuts").isNull(), F.col("text")).otherwise(_replaced()).alias("text") if c == "text"
+            .select(*[F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(_replaced()).alias("text") if c == "text"
                       else F.col(f"`{c}`") for c in docs.columns]))

@@ -10,12 +10,12 @@ import uuid
 WHITE = re.compile(r"[\x20\x09-\x0D]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, size string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, size string, cuts int"
 
 
 def documents(spark, rows):
     """(doc_id, text[, source]) as a stored table with extra columns of clashing names."""
-    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), "x", 7, "y") for r in rows]
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), "x", 7, "y", 3) for r in rows]
     return saved(spark.createDataFrame(full, DOCS))
 
 
