@@ -302,27 +302,31 @@ def monthly_due_dates(spark, sf):
     return accounts.roll_to_business_day(due, "due_date")
 
 
-NEAR = ["log_value", "deposit_share", "tenure", "age"]
+NEAR = ["log_value", "deposit_share", "tenure", "age", "log_income", "log_salary", "log_bonus", "log_pension", "log_business"]
+NEAR_RADIUS = 0.01
 
 
 def _near_points(spark, sf):
+    """Nine standardised dimensions of every household."""
     h = src.household(spark, sf)
     flags = F.concat_ws("|", *[F.col(c).cast("string") for c in HOUSEHOLD_FLAGS], F.col("segment"))
-    rows = h.select("household_id", flags.alias("flags"), F.log("relationship_value").alias("log_value"),
-                    (F.col("deposit_balance") / F.col("relationship_value")).alias("deposit_share"),
-                    F.col("tenure_years").alias("tenure"), F.col("age_primary").alias("age"))
+    log = lambda c: F.log1p(F.coalesce(c, F.lit(0.0)))
+    values = [F.log("relationship_value"), F.col("deposit_balance") / F.col("relationship_value"), F.col("tenure_years"),
+              F.col("age_primary"), log(profiles.recurring_income()), *[log(F.col(c)) for c in (
+                  "salary_base_annual", "bonus_annual", "pension_monthly", "business_distribution_annual")]]
+    rows = h.select("household_id", flags.alias("flags"), *[v.alias(n) for v, n in zip(values, NEAR)])
     return profiles.standardize(rows, NEAR, population=False)
 
 
 @query("near_duplicate_join")
 def near_duplicate_join(spark, sf):
-    return near_duplicates.near_neighbours(_near_points(spark, sf), "household_id", NEAR, "flags", 0.2)
+    return near_duplicates.near_neighbours(_near_points(spark, sf), "household_id", NEAR, "flags", NEAR_RADIUS)
 
 
 @query("near_duplicate_summary")
 def near_duplicate_summary(spark, sf):
     return near_duplicates.near_duplicate_summary(near_duplicates.near_neighbours(
-        _near_points(spark, sf), "household_id", NEAR, "flags", 0.2))
+        _near_points(spark, sf), "household_id", NEAR, "flags", NEAR_RADIUS))
 
 
 @query("align_index_agg", recent=2, earlier=2)

@@ -114,14 +114,16 @@ SQL["monthly_due_dates"] = build("""SELECT month_start, due_date, max(c.d) AS bu
   SELECT month_start, CAST(month_start + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS due_date
   FROM (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS month_start FROM transfer) q WHERE month(month_start) % 3 = 0) t
 JOIN cal c ON c.d <= due_date AND c.d > due_date - 10 GROUP BY 1, 2""", cal=_CAL)
-_PTS = f"""SELECT household_id, {COMBO} AS flags, ln(relationship_value) AS a, deposit_balance / relationship_value AS b, tenure_years AS c,
-  age_primary AS d FROM household"""
-_STD = "SELECT household_id, flags, " + ", ".join(f"({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () AS {x}" for x in "abcd") + " FROM pts"
-_NN = """SELECT p.household_id, min(sqrt((p.a-q.a)*(p.a-q.a)+(p.b-q.b)*(p.b-q.b)+(p.c-q.c)*(p.c-q.c)+(p.d-q.d)*(p.d-q.d))) AS nearest
+_INCOME = " + ".join(f"coalesce({c}, 0)" for c in ("salary_base_annual / 12", "pension_monthly", "dividend_annual / 12", "business_distribution_annual / 12"))
+_DIMS = ["ln(relationship_value)", "deposit_balance / relationship_value", "tenure_years", "age_primary", f"ln(1 + {_INCOME})",
+         *[f"ln(1 + coalesce({c}, 0))" for c in ("salary_base_annual", "bonus_annual", "pension_monthly", "business_distribution_annual")]]
+_PTS = f"SELECT household_id, {COMBO} AS flags, " + ", ".join(f"({e})::DOUBLE AS v{i}" for i, e in enumerate(_DIMS)) + " FROM household"
+_STD = "SELECT household_id, flags, " + ", ".join(f"(v{i} - avg(v{i}) OVER ()) / stddev_samp(v{i}) OVER () AS v{i}" for i in range(9)) + " FROM pts"
+_NN = "SELECT p.household_id, min(sqrt(" + " + ".join(f"(p.v{i}-q.v{i})*(p.v{i}-q.v{i})" for i in range(9)) + """)) AS nearest
 FROM std_pts p JOIN std_pts q ON p.flags = q.flags AND p.household_id <> q.household_id GROUP BY 1"""
-add("near_duplicate_join", "household_id", "nearest", "SELECT * FROM nn WHERE nearest < 0.2::DOUBLE", pts=_PTS, std_pts=_STD, nn=_NN)
+add("near_duplicate_join", "household_id", "nearest", "SELECT * FROM nn WHERE nearest < 0.01::DOUBLE", pts=_PTS, std_pts=_STD, nn=_NN)
 add("near_duplicate_summary", "near_rows, near_pairs", "min_distance", """SELECT count(*) AS near_rows, count(*) // 2 AS near_pairs, min(nearest) AS min_distance
-FROM nn WHERE nearest < 0.2::DOUBLE""", pts=_PTS, std_pts=_STD, nn=_NN)
+FROM nn WHERE nearest < 0.01::DOUBLE""", pts=_PTS, std_pts=_STD, nn=_NN)
 add("align_index_agg", "household_id, dest_id", {"recent": 2, "earlier": 2}, """SELECT household_id, dest_id,
   sum(amount) FILTER (WHERE day > -90) AS recent, sum(amount) FILTER (WHERE day <= -90) AS earlier FROM transfer GROUP BY 1, 2""")
 

@@ -120,8 +120,11 @@ def test_pareto_and_t_fits(spark):
     x = (1 - u * (1 - 10.0 ** (-3 * 1.5))) ** (-1 / 1.5)
     row = st.pareto_tail_alpha(spark.createDataFrame(pd.DataFrame({"x": x})), "x", 1.0, 1000.0).first()
     assert abs(row.alpha - 1.5) < 4 * row.std_error
-    t = rng.standard_t(6, 40_000) / math.sqrt(1.5)
-    assert abs(st.student_t_fit(spark.createDataFrame(pd.DataFrame({"z": t})), "z").first().nu - 6) < 1
+    assert st.pareto_tail_alpha(spark.createDataFrame([(500.0,), (900.0,)], "x double"), "x", 1.0, 1000.0).first().alpha is None
+    n, m, r = len(x), np.log(x).mean(), math.log(1000.0)
+    score = lambda a: 1 / a - r / math.expm1(a * r) - m
+    assert abs(score(row.alpha)) < 1e-10
+    assert row.std_error == pytest.approx(1 / math.sqrt(-n * (score(row.alpha + 1e-5) - score(row.alpha - 1e-5)) / 2e-5), rel=1e-4)
     assert st.truncated_normal_kurtosis(-30, 30) == pytest.approx(0, abs=1e-9)
 
 
@@ -153,3 +156,24 @@ def test_evaluation_and_moments_of_tiny_groups(spark):
     assert statistics.hill_alpha(tiny, "x", ["g"]).count() == 3
     line = spark.createDataFrame([(i, float(i), 2.0 * i) for i in range(6)], "k long, a double, b double")
     assert statistics.spearman_test(line, [("a", "b")], "k").first().rho == 1.0
+
+
+@pytest.mark.parametrize("nu, scale", [(3.0, 2.0), (6.0, 0.5), (60.0, 1.0)])
+def test_t_fit_is_the_maximum(spark, nu, scale):
+    z = np.random.default_rng(int(nu)).standard_t(nu, 20_000) * scale
+    got = st.student_t_fit(spark.createDataFrame(pd.DataFrame({"z": z})).repartition(3), "z").first()
+
+    def level(v, s):
+        const = math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(v * math.pi) - math.log(s)
+        return len(z) * const - (v + 1) / 2 * np.log1p(z * z / (v * s * s)).sum()
+    assert got.log_likelihood == pytest.approx(level(got.nu, got.scale), rel=1e-12)
+    slopes = [(level(got.nu * (1 + e), got.scale * (1 + d)) - level(got.nu * (1 - e), got.scale * (1 - d))) for e, d in ((1e-4, 0), (0, 1e-4))]
+    assert all(abs(x) < 1e-4 for x in slopes)
+    assert abs(math.log(got.nu / nu)) < (0.1 if nu < 10 else 1.5) and abs(got.scale / scale - 1) < 0.05
+
+
+def test_t_fit_of_odd_tables(spark):
+    normal = np.random.default_rng(0).uniform(-1, 1, 500)
+    assert st.student_t_fit(spark.createDataFrame(pd.DataFrame({"z": normal})), "z").first().nu == pytest.approx(1e6)
+    assert st.student_t_fit(spark.createDataFrame([(None,), (0.0,)], "z double"), "z").first().nu is None
+    assert st.digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-13) and st.trigamma(1.0) == pytest.approx(math.pi ** 2 / 6, abs=1e-13)
