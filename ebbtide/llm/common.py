@@ -50,8 +50,12 @@ def if_small(df: DataFrame, counted: DataFrame | None = None, rows: int = 1_000_
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
                 block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slice Arrow batches so that the texts of one slice hold about ``block_bytes``."""
+    """Slice Arrow batches so that the texts of one slice hold about ``block_bytes``.
+
+    What earlier batches took is handed back to the system, so a worker holds little between tasks.
+    """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         sizes = np.array([0 if n is None else n for n in
                           pc.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
         ends = np.cumsum(sizes)
@@ -61,6 +65,8 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
             stop = max(start + 1, int(np.searchsorted(ends, before + block_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
