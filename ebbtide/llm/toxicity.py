@@ -4,7 +4,7 @@ Tokens are lower-cased letter runs and their first four, five and six bytes (ste
 forms share evidence).  A token's score is its log-odds between toxic and other labelled texts with
 an informative Dirichlet prior: prior counts follow the token's frequency in the whole corpus.
 A text counts once for each token it holds, so a repeated word is no more evidence than one, and of
-near copies among the labelled texts one counts.
+near copies among the labelled texts (sketches of their shingles agree to three quarters) one counts.
 Tokens whose likelihood ratio is not beyond what chance gives among all tested tokens score a small negative background value.
 
 A linear scan keeps all maximal segments (runs that no extension or cut improves).  Scores of
@@ -20,7 +20,7 @@ be significant are bounded too; corpus counts, background and scan cover all tex
 
 Defined cases: null and empty texts have no segment and the score of no evidence; labels that are
 null or name an unknown doc_id count for nothing; without labels of both kinds every score is 0.5;
-repeated rows count each; empty tables give no rows; other columns are ignored.
+repeated rows count each in the corpus and once, by their highest evidence, in the fit; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import letter_runs, mix64, plain_bytes, shingle_sets, small_batches, text_blocks, text_of
@@ -43,8 +43,9 @@ PRIOR_SHARE = 0.02
 BACKGROUND = -0.2
 BINS, TOP_SCORE = 400, 20.0
 LEVEL = 0.05
-#: Rounds of folding near copies among the labelled rows.
-SKETCHES = 4
+#: Rounds of folding near copies among the labelled rows, ranges of a sketch, share that must agree.
+ROUNDS = 4
+SKETCH, ALIKE = 64, 0.75
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -85,28 +86,54 @@ def _token_counts(texts: list[bytes], groups: list[int], n_groups: int) -> tuple
     return keys, found.reshape(len(keys), n_groups).astype(np.int64)
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """Least hash of each of ``SKETCH`` ranges of the hashes, 0 where a range is empty."""
+    ordered = np.sort(mix64(hashes ^ np.uint64(0xD6E8FEB86659FD93)))
+    starts = np.arange(SKETCH, dtype=np.uint64) * np.uint64(2 ** 64 // SKETCH)
+    at = np.searchsorted(ordered, starts)
+    ends = np.append(at[1:], len(ordered))
+    out = np.zeros(SKETCH, dtype=np.uint64)
+    out[at < ends] = ordered[at[at < ends]]
+    return out
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether two sketches agree in a share ``ALIKE`` of the ranges that either of them fills."""
+    number = lambda test: F.size(F.filter(F.zip_with(a, b, test), lambda x: x))
+    return (number(lambda x, y: (x == y) & (x != 0))
+            >= F.lit(ALIKE) * number(lambda x, y: (x != 0) | (y != 0)))
+
+
 def _without_copies(labelled: DataFrame) -> DataFrame:
     """(__known, __label) of labelled texts, one of each group of near copies.
 
     Copies are no evidence of their own: every word of a toxic text copied a hundred times would
-    look toxic.  Near copies mostly share the least of a random order of their shingles; one text
-    of each least stays, in ``SKETCHES`` rounds with other orders.
+    look toxic.  Near copies mostly share the least of a random order of their shingles: in
+    ``ROUNDS`` rounds with other orders a text gives way to the first text with the same least, if
+    their whole sketches agree too; texts that share some passage only all stay.  Of rows that share a doc_id
+    one decides.
     """
-    names = [f"k{i}" for i in range(SKETCHES)]
+    names = [f"k{i}" for i in range(ROUNDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "__text"):
             sets = shingle_sets(plain_bytes(block.column("__text")), 3)
-            least = np.zeros((len(sets), SKETCHES), dtype=np.uint64)
+            least = np.zeros((len(sets), ROUNDS), dtype=np.uint64)
             for row, s in enumerate(sets):
-                for i in range(SKETCHES):
+                for i in range(ROUNDS):
                     least[row, i] = mix64(s ^ np.uint64((i * 0x9E3779B97F4A7C15) % 2 ** 64)).min() if len(s) else 0
+            sketches = [_sketch(s).view(np.int64) for s in sets]
             yield pa.record_batch([block.column("__known"), block.column("__label"),
-                                   *[pa.array(least[:, i].view(np.int64)) for i in range(SKETCHES)]],
-                                  names=["__known", "__label", *names])
-    rows = labelled.mapInArrow(run, ", ".join(["__known long, __label int", *[f"{k} long" for k in names]]))
-    for key in names:
-        rows = rows.groupBy(key, "__label").agg(*[F.min_by(c, "__known").alias(c) for c in ("__known", *names) if c != key])
+                                   pa.array(sketches, pa.list_(pa.int64())),
+                                   *[pa.array(least[:, i].view(np.int64)) for i in range(ROUNDS)]],
+                                  names=["__known", "__label", "sketch", *names])
+    rows = labelled.mapInArrow(run, ", ".join(["__known long, __label int, sketch array<long>", *[f"{k} long" for k in names]]))
+    rows = (rows.groupBy("__known", "__label").agg(F.min(F.struct("sketch", *names)).alias("s"))
+            .select("__known", "__label", "s.*"))
+    for key in names:  # at most MAX_LABELLED rows
+        first = F.min(F.struct("__known", "sketch")).over(Window.partitionBy(key, "__label"))
+        rows = (rows.withColumn("first", first)
+                .filter((F.col("first.__known") == F.col("__known")) | ~_alike("sketch", "first.sketch")).drop("first"))
     return stored(rows.select("__known", "__label"))
 
 
@@ -266,7 +293,9 @@ def passages(docs: DataFrame, labels: DataFrame) -> DataFrame:
     evidence = F.aggregate("passages", F.lit(0.0), lambda a, x: a + F.least(F.lit(50.0), -F.ln(F.greatest(x["expected"], F.lit(1e-300)))))
     marked = stored(found.withColumn("passages", listed).withColumn("evidence", F.ln(1 + evidence))
                     .select("__place", "__id", "__label", "passages", "evidence"))
-    fit = marked.filter("__label is not null").select("evidence", "__label").limit(2 * MAX_LABELLED).toPandas()
+    # At most MAX_LABELLED rows, in one order.
+    fit = (marked.filter("__label is not null").groupBy("__id", "__label").agg(F.max("evidence").alias("evidence"))
+           .toPandas().sort_values("__id"))
     if fit["__label"].nunique() < 2:
         score = F.lit(0.5)
     else:

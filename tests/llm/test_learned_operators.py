@@ -49,6 +49,23 @@ def test_quality_edges(spark):
     assert quality.good_documents(docs, positives.filter("doc_id = 99")).columns == docs.columns
 
 
+def test_only_near_copies_fold_among_labelled_texts(spark):
+    """A shared passage is no copy: such texts all stay; of copies with one changed word one stays."""
+    shared = " ".join(f"licence{i}" for i in range(30))
+    rows = [(i, 0, f"{shared} " + " ".join(f"own{i}x{k}" for k in range(40))) for i in range(60)]
+    rows += [(100 + i, 1, " ".join(f"copy{k}" for k in range(200)) + f" last{i}") for i in range(20)]
+    rows += [(200, 0, ""), (201, 0, ""), (202, 1, ""), (203, 1, "one"), (203, 1, "one")]
+    kept = toxicity._without_copies(spark.createDataFrame(rows, "__known long, __label int, __text string")).collect()
+    assert sorted(r[0] for r in kept) == [*range(60), 100, 200, 202, 203]
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
+    docs, labels = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels")
+    one, other = ({r.doc_id: round(r.score, 9) for r in toxicity.passages(d, labels).select("doc_id", "score").collect()}
+                  for d in (docs, docs.repartition(7)))
+    assert one == other
+
+
 def test_toxicity_edges(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(1, 0), (5, 0), (6, 1), (None, 1), (99, 1), (4, None)], "doc_id long, toxic int")
