@@ -96,3 +96,26 @@ def read_params(path: str, **overrides) -> Params:
         visit(yaml.safe_load(handle) or {})
     found.update(overrides)
     return Params(**found)
+
+
+@dataclass(frozen=True)
+class IncomeLaws:
+    """Laws that the columns of a household are tested against."""
+    # fixed values: relationship value (lognormal body, cut Pareto tail)
+    value_median: float = 4_000_000.0
+    value_sigma: float = 1.2
+    value_min: float = 1_000_000.0
+    tail_start: float = 30_000_000.0
+    tail_alpha: float = 1.5
+    tail_end: float = 1_000_000_000.0
+    # fixed values: beta and gamma laws
+    deposit_share: tuple[float, float] = (2.0, 5.0)
+    tenure: tuple[float, float] = (2.0, 4.5)
+    tenure_max: int = 50
+    bonus_range: tuple[float, float] = (0.10, 1.5)
+    bonus_share: tuple[float, float] = (1.5, 3.0)
+    dividend_yield: tuple[float, float] = (4.0, 196.0)
+    # fixed values: median, sigma, link to wealth and floor of the wealth-linked lognormal laws
+    salary: tuple[float, float, float, float | None] = (350_000.0, 0.55, 0.45, 150_000.0)
+    pension: tuple[float, float, float, float | None] = (9_000.0, 0.50, 0.30, 2_500.0)
+    business: tuple[float, float, float, float | None] = (500_000.0, 0.90, 0.50, None)

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from ebbtide.contract import BUSINESS_BANDS, MONEY_COLUMNS
 from ebbtide.functions import pvalues
 from ebbtide.operators import ordering, profiles, statistics as st
+from ebbtide.params import IncomeLaws
 from ebbtide.plans.registry import query
 from ebbtide.sources import adapters as src
 
+#: The configured laws at the scale of the adapters' relationship values.
+LAWS = IncomeLaws(value_median=80_000.0, value_sigma=0.7, value_min=1_000.0, tail_start=150_000.0, tail_end=1e9)
+
 
 def _pit(spark, sf):
     """Probability transforms with closed forms: uniform and exponential models."""
@@ -42,7 +46,14 @@ def cramer_von_mises(spark, sf):
 
 @query("pit_transform")
 def pit_transform(spark, sf):
-    return st.pit_columns(src.household(spark, sf))
+    return st.pit_columns(src.household(spark, sf), LAWS)
+
+
+@query("pit_uniformity")
+def pit_uniformity(spark, sf):
+    """KS distance of each column's transforms to the uniform law, with its p-value."""
+    d = st.ks_uniform(st.pit_columns(src.household(spark, sf), LAWS), "pit", ["column_name"])
+    return d.withColumn("p_value", pvalues.p_value(F.lit("ks"), F.col("statistic"), F.col("n")))
 
 
 @query("chi_square_gof")
@@ -184,7 +195,8 @@ def welch(spark, sf):
 
 @query("poisson_collision_bound")
 def collision(spark, sf):
-    return st.collision_bound(src.household(spark, sf), "relationship_value")
+    return st.collision_bound(src.household(spark, sf), [
+        "relationship_value", "salary_base_annual", "pension_monthly", "business_distribution_annual"])
 
 
 def _runs(spark, sf):

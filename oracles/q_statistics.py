@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from oracles.ctes import build, rounded
 
 SQL: dict[str, str] = {}
@@ -80,3 +82,54 @@ _BH = """SELECT banker_id, p_value, least(1, min(p_value * n / i) OVER (ORDER BY
   SELECT *, row_number() OVER (ORDER BY p_value, banker_id) AS i, count(*) OVER () AS n FROM {}) q"""
 add("bh_adjust", "banker_id", "p_value p_bh", _BH.format("tests"), tests=_T)
 add("cummin_reverse_bh", "banker_id", "p_value p_bh", _BH.format("tests2"), tests=_T, tests2="SELECT * FROM tests")
+
+
+def _phi(z: str) -> str:
+    """Normal CDF by its series of positive terms z^(2k+1) / (2k+1)!!."""
+    return (f"(CASE WHEN {z} > 8 THEN 1.0 WHEN {z} < -8 THEN 0.0 WHEN {z} = 0 THEN 0.5 ELSE 0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * "
+            f"list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln(abs({z})) - (k + 1) * ln(2) - lgamma(k + 1.5::DOUBLE) + 0.5 * ln(pi())))) END)")
+
+
+def _linked(column: str, median: float, sigma: float, link: float, floor: float | None) -> str:
+    own, middle = f"({sigma} * sqrt(1 - {link} * {link}))::DOUBLE", f"(ln({median}) + {link} * {sigma} * w)"
+    least = "NULL::DOUBLE" if floor is None else f"(ln({floor}) - {middle}) / {own}"
+    return (f"SELECT household_id, '{column}' AS column_name, (ln({column}) - {middle}) / {own} AS z, {least} AS a "
+            f"FROM wealth WHERE {column} IS NOT NULL")
+
+
+def _binomial_upper(x: str, n: int, least: int) -> str:
+    """Beta(least, n - least + 1) CDF: at least so many of n hits."""
+    return "1 - (" + " + ".join(f"{math.comb(n, j)} * pow({x}, {j}) * pow(1 - {x}, {n - j})" for j in range(least)) + ")"
+
+
+_LAW = dict(
+    wealth="SELECT *, (ln(relationship_value) - ln(80000::DOUBLE)) / 0.7::DOUBLE AS w FROM household",
+    zs=" UNION ALL ".join([
+        "SELECT household_id, 'relationship_value' AS column_name, least(w, (ln(150000::DOUBLE) - ln(80000::DOUBLE)) / 0.7::DOUBLE) AS z, (ln(1000::DOUBLE) - ln(80000::DOUBLE)) / 0.7::DOUBLE AS a FROM wealth",
+        _linked("salary_base_annual", 350000, 0.55, 0.45, 150000), _linked("pension_monthly", 9000, 0.5, 0.3, 2500),
+        _linked("business_distribution_annual", 500000, 0.9, 0.5, None)]),
+    us=f"SELECT household_id, column_name, CASE WHEN a IS NULL THEN {_phi('z')} ELSE ({_phi('z')} - {_phi('a')}) / (1 - {_phi('a')}) END AS u FROM zs",
+    laws=f"""SELECT u.household_id, column_name, CASE WHEN column_name = 'relationship_value' AND relationship_value >= 150000
+    THEN u + (1 - u) * (1 - pow(150000::DOUBLE / relationship_value, 1.5)) / (1 - pow(150000::DOUBLE / 1e9, 1.5)) ELSE u END AS pit FROM us u JOIN household h ON u.household_id = h.household_id
+  UNION ALL SELECT household_id, 'deposit_share', {_binomial_upper('(deposit_balance::DOUBLE / relationship_value)', 6, 2)} FROM household WHERE has_investments
+  UNION ALL SELECT household_id, 'tenure_years', 1 - exp(-tenure_years / 4.5::DOUBLE) * (1 + tenure_years / 4.5::DOUBLE) FROM household WHERE age_primary >= 68
+  UNION ALL SELECT household_id, 'bonus_share', pow(b, 1.5) * (1 + 1.5 * (1 - b) + 1.875 * (1 - b) * (1 - b)) FROM (
+    SELECT household_id, least(1, greatest(0, (bonus_annual::DOUBLE / salary_base_annual - 0.1::DOUBLE) / 1.4::DOUBLE)) AS b FROM household WHERE bonus_annual > 0) q
+  UNION ALL SELECT household_id, 'dividend_yield', {_binomial_upper('(dividend_annual::DOUBLE / aum)', 199, 4)} FROM household WHERE aum > 0 AND dividend_annual IS NOT NULL""")
+add("pit_transform", "household_id, column_name", "pit", "SELECT household_id, column_name, pit FROM laws WHERE pit IS NOT NULL", **_LAW)
+add("pit_uniformity", "column_name, n", "statistic p_value", """SELECT column_name, n, statistic, CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0,
+  2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * x * x))))) END AS p_value FROM (
+  SELECT *, (sqrt(n) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n)) * statistic AS x FROM (SELECT column_name, count(*) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS statistic FROM (
+    SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY pit) AS i, count(*) OVER (PARTITION BY column_name) AS n FROM laws WHERE pit IS NOT NULL) r GROUP BY 1) g) q""", **_LAW)
+
+_MONEY = ["relationship_value", "salary_base_annual", "pension_monthly", "business_distribution_annual"]
+add("poisson_collision_bound", "variable, repeated, upper, ok", "expected", """SELECT variable, repeated, expected, upper, repeated <= upper AS ok FROM (SELECT e.variable, any_value(repeated) AS repeated, any_value(expected) AS expected, min(k) AS upper FROM ex e JOIN (
+  SELECT variable, k, sum(exp(-expected + k * ln(expected) - lgamma(k + 1.0::DOUBLE))) OVER (PARTITION BY variable ORDER BY k) AS held FROM (
+    SELECT *, unnest(range(0, CAST(expected + 20 * sqrt(expected + 1) + 50 AS BIGINT))) AS k FROM ex) a) b ON e.variable = b.variable WHERE held >= 0.999 GROUP BY 1) q""",
+    lg=long(_MONEY, "{c} > 0"),
+    wd="SELECT variable, count(*) AS n, count(DISTINCT x) AS d, stddev_samp(ln(x)) * pow(count(*)::DOUBLE, -0.2) AS h FROM lg GROUP BY 1",
+    dealt="SELECT variable, x, floor(ln(x) / h * 16) AS c, ln(x) / h * 16 - floor(ln(x) / h * 16) AS r FROM lg JOIN wd USING (variable)",
+    cells="""SELECT variable, c, sum(s) AS mass, sum(s / x) AS inverse FROM (SELECT variable, x, c, 1 - r AS s FROM dealt
+      UNION ALL SELECT variable, x, c + 1, r FROM dealt) q GROUP BY 1, 2""",
+    ex="""SELECT a.variable, any_value(n) - any_value(d) AS repeated, (any_value(n) - 1) / (2 * any_value(n)::DOUBLE) * 0.01::DOUBLE / (any_value(h) * sqrt(2 * pi()))
+      * sum(a.inverse * b.mass * exp(-(a.c - b.c) * (a.c - b.c) / 512)) AS expected FROM cells a JOIN cells b ON a.variable = b.variable AND abs(a.c - b.c) <= 96 JOIN wd ON wd.variable = a.variable GROUP BY 1""")
