@@ -222,6 +222,24 @@ def atypicality(spark, sf):
     return st.empirical_rank(long.filter("month < 0"), long.filter("month = 0"), "value", "variable")
 
 
+def _run_tests(spark, sf):
+    """Tails of a production run of households against twenty reference runs of other households."""
+    h = src.household(spark, sf).withColumn("recurring_income_monthly", profiles.recurring_income())
+    return st.run_atypicality(h, MONEY_COLUMNS, st.run_of(F.col("household_id"), 20))
+
+
+@query("run_atypicality")
+def run_atypicality(spark, sf):
+    return _run_tests(spark, sf)
+
+
+@query("atypicality_uniformity")
+def atypicality_uniformity(spark, sf):
+    """The p-values of a typical run are uniform: their KS distance and its p-value."""
+    d = st.ks_uniform(_run_tests(spark, sf).withColumn("family", F.lit("tails")), "p_value", ["family"])
+    return d.withColumn("p_value", pvalues.p_value(F.lit("ks"), F.col("statistic"), F.col("n")))
+
+
 def _tests(spark, sf):
     """A list of tests: one p-like value per banker book, from its share of trusts."""
     h = src.household(spark, sf)

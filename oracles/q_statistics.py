@@ -37,9 +37,10 @@ add("fisher_z_corr", "", "r statistic", "SELECT corr(relationship_value, tenure_
 _MON = ["relationship_value", "aum", "pension_monthly", "tenure_years"]
 _MOM = """SELECT variable, count(*) AS n, avg(x) AS m, avg(x) AS mean, stddev_samp(x) AS sd, avg((x - mu) * (x - mu) * (x - mu)) / pow(avg((x - mu) * (x - mu)), 1.5) AS skew,
   avg((x - mu) * (x - mu) * (x - mu) * (x - mu)) / pow(avg((x - mu) * (x - mu)), 2) - 3 AS excess FROM (SELECT *, avg(x) OVER (PARTITION BY variable) AS mu FROM {}) q GROUP BY 1"""
-add("kurtosis_test", "variable, n", "excess kurtosis_z", """SELECT variable, n, excess, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS kurtosis_z FROM (
+_KZ = """SELECT variable, n, excess, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS kurtosis_z FROM (
   SELECT *, 6 + 8 / b * (2 / b + sqrt(1 + 4 / (b * b))) AS a FROM (SELECT *, (excess + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
-    6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b FROM (SELECT * REPLACE (n::DOUBLE AS n) FROM mom) z) y) w""".replace("SELECT variable, n, excess, (1", "SELECT variable, CAST(n AS BIGINT) AS n, excess, (1"),
+    6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b FROM (SELECT * REPLACE (n::DOUBLE AS n) FROM mom) z) y) w""".replace("SELECT variable, n, excess, (1", "SELECT variable, CAST(n AS BIGINT) AS n, excess, (1")
+add("kurtosis_test", "variable, n", "excess kurtosis_z", _KZ,
     lg=long(_MON), mom=_MOM.format("lg"))
 add("jarque_bera", "variable", "skew jarque_bera", "SELECT variable, skew, n / 6 * (skew * skew + excess * excess / 4) AS jarque_bera FROM mom", lg=long(_MON), mom=_MOM.format("lg"))
 _LM = """SELECT variable, (6 * b2 - 6 * b1 + b0) / (2 * b1 - b0) AS l_skewness, (20 * b3 - 30 * b2 + 12 * b1 - b0) / (2 * b1 - b0) AS l_kurtosis FROM (
@@ -133,3 +134,54 @@ add("poisson_collision_bound", "variable, repeated, upper, ok", "expected", """S
       UNION ALL SELECT variable, x, c + 1, r FROM dealt) q GROUP BY 1, 2""",
     ex="""SELECT a.variable, any_value(n) - any_value(d) AS repeated, (any_value(n) - 1) / (2 * any_value(n)::DOUBLE) * 0.01::DOUBLE / (any_value(h) * sqrt(2 * pi()))
       * sum(a.inverse * b.mass * exp(-(a.c - b.c) * (a.c - b.c) / 512)) AS expected FROM cells a JOIN cells b ON a.variable = b.variable AND abs(a.c - b.c) <= 96 JOIN wd ON wd.variable = a.variable GROUP BY 1""")
+
+_KS_P = """CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0,
+  2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * x * x))))) END"""
+add("ks_distribution", "series, n", "statistic p_value", f"""SELECT 'return' AS series, n, statistic, {_KS_P} AS p_value FROM (
+  SELECT *, (sqrt(n) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n)) * statistic AS x FROM (SELECT CAST(max(n) AS BIGINT) AS n, max(greatest(i / n - u, u - (i - m) / n)) AS statistic FROM (
+    SELECT m, {_phi('z')} AS u, sum(m) OVER (ORDER BY z) AS i, sum(m) OVER () AS n FROM (
+      SELECT portfolio_return / 0.0121::DOUBLE AS z, count(*) AS m FROM monthly_return GROUP BY 1) v) w) g) q""")
+add("p_values", "variable", "p_kurtosis p_jarque_bera", f"""SELECT k.variable, 2 * {_phi('(-abs(kurtosis_z))')} AS p_kurtosis,
+  exp(-m.n / 6 * (skew * skew + m.excess * m.excess / 4) / 2) AS p_jarque_bera FROM kz k JOIN mom m ON k.variable = m.variable""",
+    lg=long(_MON), mom=_MOM.format("lg"), kz=_KZ)
+add("truncnorm_body_kurtosis", "n", "excess theory statistic", """SELECT n, excess, theory, (excess - theory) / sqrt(24 / n::DOUBLE) AS statistic FROM (
+  SELECT count(*) AS n, kurtosis_pop(ln(relationship_value)) AS excess FROM household WHERE relationship_value >= 20000 AND relationship_value < 250000) o, (
+  SELECT (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / ((m2 - m1 * m1) * (m2 - m1 * m1)) - 3 AS theory FROM (
+    SELECT *, 3 * m2 + (a * a * a * pa - b * b * b * pb) / mass AS m4, 2 * m1 + (a * a * pa - b * b * pb) / mass AS m3 FROM (
+      SELECT *, (pa - pb) / mass AS m1, 1 + (a * pa - b * pb) / mass AS m2 FROM cut) c) d) t""",
+    ends="SELECT (ln(20000) - 11.5::DOUBLE) / 0.6::DOUBLE AS a, (ln(250000) - 11.5::DOUBLE) / 0.6::DOUBLE AS b",
+    cut=f"SELECT a, b, exp(-a * a / 2) / sqrt(2 * pi()) AS pa, exp(-b * b / 2) / sqrt(2 * pi()) AS pb, {_phi('b')} - {_phi('a')} AS mass FROM ends")
+add("mardia", "dof", "skewness_stat kurtosis_z p_skewness p_kurtosis", f"""SELECT s AS skewness_stat, 10 AS dof, z AS kurtosis_z,
+  exp(-s / 2) * (1 + s / 2 + pow(s / 2, 2) / 2 + pow(s / 2, 3) / 6 + pow(s / 2, 4) / 24) AS p_skewness, 2 * {_phi('(-abs(z))')} AS p_kurtosis FROM (
+  SELECT count(*) / 6.0::DOUBLE * (pow(avg(u * u * u), 2) + pow(avg(v * v * v), 2) + pow(avg(w * w * w), 2)
+    + 3 * (pow(avg(u * u * v), 2) + pow(avg(u * u * w), 2) + pow(avg(u * v * v), 2) + pow(avg(v * v * w), 2) + pow(avg(u * w * w), 2) + pow(avg(v * w * w), 2))
+    + 6 * pow(avg(u * v * w), 2)) AS s, (avg(pow(u * u + v * v + w * w, 2)) - 15) / sqrt(120.0::DOUBLE / count(*)) AS z FROM white) q""",
+    xs="SELECT ln(relationship_value) AS x1, tenure_years::DOUBLE AS x2, age_primary::DOUBLE AS x3 FROM household",
+    cov="""SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, covar_pop(x1, x1) AS c11, covar_pop(x1, x2) AS c12, covar_pop(x1, x3) AS c13,
+      covar_pop(x2, x2) AS c22, covar_pop(x2, x3) AS c23, covar_pop(x3, x3) AS c33 FROM xs""",
+    l1="SELECT *, sqrt(c11) AS l11, c12 / sqrt(c11) AS l21, c13 / sqrt(c11) AS l31, sqrt(c22 - c12 * c12 / c11) AS l22 FROM cov",
+    l2="SELECT *, (c23 - l21 * l31) / l22 AS l32 FROM l1",
+    white="""SELECT u, v, (x3 - m3 - l31 * u - l32 * v) / sqrt(c33 - l31 * l31 - l32 * l32) AS w FROM (
+      SELECT *, (x2 - m2 - l21 * u) / l22 AS v FROM (SELECT *, (x1 - m1) / l11 AS u FROM xs, l2) a) b""")
+
+_TAIL_MONEY = ["relationship_value", "deposit_balance", "aum", "salary_base_annual", "bonus_annual", "pension_monthly", "dividend_annual", "business_distribution_annual", "recurring_income_monthly"]
+_MEASURES = [("mean", "mom", "mean"), ("excess", "mom", "excess"), ("excess_log", "moml", "excess"), ("l_kurtosis", "lm", "l_kurtosis"), ("hill_alpha", "hl", "hill_alpha")]
+_ATYPICAL = dict(
+    hi=_HI, lg=" UNION ALL ".join(f"SELECT (('0x' || substr(md5(household_id::VARCHAR), 1, 8))::BIGINT % 21) || '|{c}' AS variable, {c}::DOUBLE AS x FROM hi WHERE {c} > 0" for c in _TAIL_MONEY),
+    lgl="SELECT variable, ln(x) AS x FROM lg", mom=_MOM.format("lg"), moml=_MOM.format("lgl"), lm=_LM.format("lg"), hl=_HILL.format("lg"),
+    vals=" UNION ALL ".join(f"SELECT CAST(split_part(variable, '|', 1) AS INTEGER) AS run, split_part(variable, '|', 2) || ' {m}' AS test, round({c}, 6) AS v FROM {t} WHERE isfinite({c})" for m, t, c in _MEASURES),
+    rk="""SELECT *, 2 * least(percentile, 1 - percentile) AS p_value FROM (SELECT r.test, max(p.v) AS production, count(*) AS runs,
+      (sum(CASE WHEN r.v < p.v THEN 1.0 WHEN r.v = p.v THEN 0.5 ELSE 0 END) + 0.5::DOUBLE) / (count(*) + 1) AS percentile FROM vals r JOIN vals p ON r.test = p.test AND p.run = 0 WHERE r.run > 0 GROUP BY 1) q""")
+add("run_atypicality", "test, runs", "production percentile p_value p_bh", """SELECT test, runs, production, percentile, p_value,
+  least(1, min(p_value * n / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh FROM (
+  SELECT *, row_number() OVER (ORDER BY p_value, test) AS i, count(*) OVER () AS n FROM rk) q""", **_ATYPICAL)
+add("atypicality_uniformity", "family, n", "statistic p_value", f"""SELECT 'tails' AS family, n, statistic, {_KS_P} AS p_value FROM (
+  SELECT *, (sqrt(n) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n)) * statistic AS x FROM (SELECT count(*) AS n, max(greatest(i / n - p_value, p_value - (i - 1) / n)) AS statistic FROM (
+    SELECT p_value, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS n FROM rk) v HAVING count(*) > 0) g) q""", **_ATYPICAL)
+add("binomial_exact", "check_name, n, k", "expected p_value", """SELECT any_value(t.check_name) AS check_name, any_value(t.n) AS n, any_value(t.k) AS k, any_value(t.p) AS expected,
+  CASE WHEN any_value(t.k) = any_value(t.p * t.n) THEN 1.0 ELSE least(1.0, sum(exp(l)) FILTER (WHERE l <= o + 1e-7::DOUBLE)) END AS p_value FROM pmf t JOIN (SELECT check_name, l AS o FROM pmf WHERE j = k) b ON t.check_name = b.check_name GROUP BY t.check_name""",
+    checks="""SELECT 'credit anchor' AS check_name, count(*) AS n, count(*) FILTER (WHERE has_credit_anchor) AS k, 0.35::DOUBLE AS p FROM household
+      UNION ALL SELECT 'trust, HNW', count(*), count(*) FILTER (WHERE has_trust), 0.30::DOUBLE FROM household WHERE segment = 'HNW'
+      UNION ALL SELECT 'advisory with investments', count(*), count(*) FILTER (WHERE has_advisory), 0.70::DOUBLE FROM household WHERE has_investments""",
+    pmf="""SELECT *, lgamma(n + 1.0::DOUBLE) - lgamma(j + 1.0::DOUBLE) - lgamma(n - j + 1.0::DOUBLE) + j * ln(p) + (n - j) * ln(1 - p) AS l FROM (
+      SELECT *, unnest(range(0, n + 1)) AS j FROM checks) q""")
