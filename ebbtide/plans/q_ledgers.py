@@ -11,7 +11,7 @@ from ebbtide.contract import (ALERT_GROUPS, EXCLUDED_PAYMENTS, EXCLUDED_PRODUCT_
                               EXTERNAL_OUT, HOUSEHOLD_FLAGS, MONEY_COLUMNS)
 from ebbtide.functions.columns import (day_offset, in_window, is_true,
                                        month_of, routing_is_valid, safe_pct, text_rule)
-from ebbtide.operators import accounts, labels, ledger, near_duplicates, ordering, profiles
+from ebbtide.operators import accounts, labels, ledger, near_duplicates, nearest, ordering, profiles
 from ebbtide.operators.transfers import semi_join_category
 from ebbtide.plans import features as plan
 from ebbtide.plans.registry import query
@@ -329,6 +329,22 @@ def near_duplicate_summary(spark, sf):
         _near_points(spark, sf), "household_id", NEAR, "flags", NEAR_RADIUS))
 
 
+@query("nearest_distance", nearest=4)
+def nearest_distance(spark, sf):
+    """Exact distance of every household to its nearest neighbour with the same flags."""
+    return nearest.nearest_distances(_near_points(spark, sf), "household_id", NEAR, "flags")
+
+
+@query("nearest_distance_quantiles")
+def nearest_distance_quantiles(spark, sf):
+    """First percentile, median and least of those distances, near pairs, and the flag combinations."""
+    points = _near_points(spark, sf)
+    found = nearest.nearest_distances(points, "household_id", NEAR, "flags")
+    combos = points.groupBy("flags").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.count(F.lit(1)).alias("flag_combinations"), (F.max("n") / F.sum("n")).alias("largest_share"))
+    return nearest.distance_quantiles(found, NEAR_RADIUS).crossJoin(F.broadcast(combos))  # one row each
+
+
 @query("align_index_agg", recent=2, earlier=2)
 def align_index(spark, sf):
     t = src.transfer(spark, sf)

@@ -124,6 +124,11 @@ FROM std_pts p JOIN std_pts q ON p.flags = q.flags AND p.household_id <> q.house
 add("near_duplicate_join", "household_id", "nearest", "SELECT * FROM nn WHERE nearest < 0.01::DOUBLE", pts=_PTS, std_pts=_STD, nn=_NN)
 add("near_duplicate_summary", "near_rows, near_pairs", "min_distance", """SELECT count(*) AS near_rows, count(*) // 2 AS near_pairs, min(nearest) AS min_distance
 FROM nn WHERE nearest < 0.01::DOUBLE""", pts=_PTS, std_pts=_STD, nn=_NN)
+add("nearest_distance", "household_id", {"nearest": 4}, "SELECT * FROM nn", pts=_PTS, std_pts=_STD, nn=_NN)
+add("nearest_distance_quantiles", "neighboured, near_pairs, flag_combinations", "min_distance p01 median largest_share", """SELECT count(*) AS neighboured,
+  min(nearest) AS min_distance, count(*) FILTER (WHERE nearest < 0.01::DOUBLE) // 2 AS near_pairs, quantile_cont(nearest, 0.01) AS p01, quantile_cont(nearest, 0.5) AS median,
+  any_value(combos) AS flag_combinations, any_value(share) AS largest_share FROM nn, (SELECT count(*) AS combos, max(n) / sum(n) AS share FROM
+  (SELECT flags, count(*) AS n FROM pts GROUP BY 1) f) c""", pts=_PTS, std_pts=_STD, nn=_NN)
 add("align_index_agg", "household_id, dest_id", {"recent": 2, "earlier": 2}, """SELECT household_id, dest_id,
   sum(amount) FILTER (WHERE day > -90) AS recent, sum(amount) FILTER (WHERE day <= -90) AS earlier FROM transfer GROUP BY 1, 2""")
 
