@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.contract import EXPERT_POINTS
 from ebbtide.functions.columns import is_true
 from ebbtide.operators.lineage import cut_lineage
-from ebbtide.operators.ordering import equal_freq_buckets, row_ranks, running_totals
+from ebbtide.operators.ordering import equal_freq_buckets, row_ranks, running_totals, with_blocks
+
+#: Households whose draws are taken together.
+RANK_BLOCK = 4096
 
 
 def score_totals(scores: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -127,38 +132,148 @@ def model_comparison(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataF
     return found.select(*by, "auc", "gini", "ks", *lists).join(probability_metrics(scores, by), by, "left")
 
 
+def _drawn(block: int, rows: int, replicates: int, seed: int) -> np.ndarray:
+    """Draws (replicates, rows of the block) of ``rows`` draws with replacement from ``rows`` rows.
+
+    Binomials split each replicate's draws down a tree of rank ranges, so every block finds its own
+    part of one multinomial sample without seeing the others.
+    """
+    lo, hi = 0, -(-rows // RANK_BLOCK)
+    count = np.full(replicates, rows)
+    edge = lambda k: min(k * RANK_BLOCK, rows)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = np.random.default_rng([seed, lo, hi]).binomial(count, (edge(mid) - edge(lo)) / (edge(hi) - edge(lo)))
+        lo, hi, count = (lo, mid, left) if block < mid else (mid, hi, count - left)
+    size = edge(hi) - edge(lo)
+    return np.random.default_rng([seed, lo, hi]).multinomial(count, np.full(size, 1.0 / size))
+
+
 def resample(scores: DataFrame, replicates: int, seed: int, key: str = "household_id") -> DataFrame:
-    """Paired bootstrap weights: how often each household is drawn in each replicate.
+    """Paired bootstrap: (key, ``weights``), how often each replicate draws the household.
 
-    Draws are generated in parallel, folded to (replicate, index) and joined on a dense index, so
-    all models share the same draws.
+    One row per household carries its counts of all replicates as 16-bit numbers, so the draws
+    themselves are never shuffled and all models share them.
     """
+    def weigh(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("row_rank")
+        drawn = _drawn(int(keys[0]), int(part["row_count"].iloc[0]), replicates, seed).astype("<u2").T
+        return pd.DataFrame({key: part[key].to_numpy(), "weights": [w.tobytes() for w in drawn]})
+
     ids = row_ranks(scores.select(key).distinct(), key, key)
-    count = ids.agg(F.max("row_count")).first()[0]
-    draws = scores.sparkSession.range(replicates * count).select(
-        (F.floor(F.col("id") / count)).alias("replicate"),
-        (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)) + 1).alias("row_rank"))
-    weights = draws.groupBy("replicate", "row_rank").agg(F.count(F.lit(1)).alias("weight"))
-    return weights.join(ids.select(key, "row_rank"), "row_rank").drop("row_rank")
+    blocks = ids.groupBy(F.floor((F.col("row_rank") - 1) / RANK_BLOCK).alias("block"))
+    return blocks.applyInPandas(weigh, f"{key} {dict(scores.dtypes)[key]}, weights binary")
+
+
+def _weight_chunks(part: pd.DataFrame, replicates: int):
+    """Rows in order with their weights (rows, replicates), some thousands at a time."""
+    for at in range(0, len(part), RANK_BLOCK):
+        rows = part.iloc[at:at + RANK_BLOCK]
+        yield rows, np.frombuffer(b"".join(rows["weights"]), "<u2").reshape(len(rows), replicates).astype(np.int64)
+
+
+def _block_totals(replicates: int, key: str):
+    """Per replicate: drawn rows, positives and value lost of one block, score level by level at its ends.
+
+    Scores at the ends of a block may go on in the next one, so they stay apart; the levels between
+    them are whole and give one part with the pairs won inside it.
+    """
+    def totals(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["risk", key])
+        first, last = part["risk"].iloc[0], part["risk"].iloc[-1]
+        sums = {}
+        seen = level_pos = level_neg = np.zeros(replicates)  # positives before the running level, and the level so far
+        level = None
+        for rows, w in _weight_chunks(part, replicates):
+            risk, label = rows["risk"].to_numpy(), rows["label"].to_numpy()[:, None]
+            pos, lost = w * label, w * label * rows["value"].to_numpy()[:, None]
+            place = np.where(risk == first, 0, np.where(risk == last, 2, 1))
+            for p in np.unique(place):
+                at = place == p
+                total = sums.setdefault(int(p), np.zeros((4, replicates)))
+                total[:3] += w[at].sum(axis=0), pos[at].sum(axis=0), lost[at].sum(axis=0)
+            inner = place == 1
+            if not inner.any():
+                continue
+            risk, pos, neg = risk[inner], pos[inner], (w - pos)[inner]
+            starts = np.r_[0, np.flatnonzero(risk[1:] != risk[:-1]) + 1]
+            pos, neg = np.add.reduceat(pos, starts, axis=0), np.add.reduceat(neg, starts, axis=0)
+            if risk[0] != level:
+                seen, level_pos, level_neg = seen + level_pos, 0.0, 0.0
+            every_pos, every_neg = pos.copy(), neg.copy()
+            every_pos[0] += level_pos
+            every_neg[0] += level_neg
+            before = seen + np.cumsum(every_pos, axis=0) - every_pos
+            # A positive wins over the negatives met later, half over those of its own level.
+            sums[1][3] += (neg * before).sum(axis=0) + ((every_pos * every_neg).sum(axis=0) - level_pos * level_neg) / 2
+            seen, level_pos, level_neg, level = before[-1], every_pos[-1], every_neg[-1], risk[-1]
+        return pd.concat([pd.DataFrame({
+            "model": keys[0], "block": keys[1], "place": place, "risk": {0: first, 2: last}.get(place, 0.0),
+            "replicate": np.arange(replicates), "n": t[0], "pos": t[1], "lost": t[2], "won": t[3]})
+            for place, t in sums.items()])
+    return totals
+
+
+def _cut_block(replicates: int, key: str):
+    """Value lost inside the cut of each replicate whose list ends in the block."""
+    def captured(keys: tuple, part: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["risk", key])
+        wanted = cuts["replicate"].to_numpy()
+        left, total = cuts["places"].to_numpy().astype(np.int64), np.zeros(len(wanted))
+        for rows, w in _weight_chunks(part, replicates):
+            drawn = w[:, wanted]
+            above = np.cumsum(drawn, axis=0) - drawn
+            taken = np.clip(left[None, :] - above, 0, drawn)
+            total += (taken * (rows["label"] * rows["value"]).to_numpy()[:, None]).sum(axis=0)
+            left = left - drawn.sum(axis=0)
+        return pd.DataFrame({"model": keys[0], "replicate": wanted, "extra": total})
+    return captured
 
 
 def bootstrap_metrics(scores: DataFrame, replicates: int, seed: int, fraction: float = 0.10,
                       key: str = "household_id") -> DataFrame:
-    """AUC and value captured per (replicate, model) from weighted score totals.
+    """AUC and value captured per (replicate, model) over the labelled rows.
 
-    A level tied at the cut of the list contributes in proportion to the places left.
+    Rows are cut into blocks by (score, key).  A first pass leaves few totals per block and
+    replicate, which give the AUC and the block where each list ends; only those blocks are read
+    again.  Lists hold whole draws: ties are ranked by key, and a household drawn twice fills two
+    places.  Replicates without a positive or without a negative have no row.
     """
-    rows = resample(scores, replicates, seed, key).join(scores, key)
-    w, label = F.col("weight"), F.col("label")
-    by = ["replicate", "model"]
-    totals = running_totals(rows, "score", {"n": w, "pos": w * label,
-                                            "lost": w * label * F.col("value")}, by)
-    size = F.bround(F.col("tot_n") * fraction, 0)
-    above = F.col("tot_n") - F.col("lt_n") - F.col("n")
-    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (size - above) / F.col("n")))
-    captured = totals.groupBy(*by).agg(
-        F.try_divide(F.sum(F.col("lost") * part), F.max("tot_lost")).alias("value_captured"))
-    return auc(totals, by).select(*by, "auc").join(captured, by).filter(F.col("auc").isNotNull())
+    known = scores.filter("label IS NOT NULL AND score IS NOT NULL").select(
+        key, "model", (-F.col("score").cast("double")).alias("risk"), F.col("label").cast("double").alias("label"),
+        F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    known = cut_lineage(known)
+    rows = cut_lineage(with_blocks(known, ["risk", key], ["model"]).withColumnRenamed("_block", "block")
+                       .join(resample(known, replicates, seed, key), key))
+    model = f"model {dict(known.dtypes)['model']}, "
+    parts = cut_lineage(rows.groupBy("model", "block").applyInPandas(
+        _block_totals(replicates, key), model + "block int, place int, risk double, replicate int, n double, pos double, "
+                                                "lost double, won double"))
+    by = ["model", "replicate"]
+    # A level that runs on through several blocks is one step of the order.
+    inner = F.when(F.col("place") == 1, F.col("block")).alias("inner")
+    steps = parts.groupBy(*by, "risk", inner).agg(
+        F.min(F.col("block") * 3 + F.col("place")).alias("order"), F.sum("n").alias("n"), F.sum("pos").alias("pos"),
+        F.sum("won").alias("won"))
+    earlier = Window.partitionBy(*by).orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    neg = F.col("n") - F.col("pos")
+    won = F.when(F.col("inner").isNull(), F.col("pos") * neg / 2).otherwise(F.col("won"))
+    area = steps.withColumn("won", won + neg * F.coalesce(F.sum("pos").over(earlier), F.lit(0.0))).groupBy(*by).agg(
+        F.try_divide(F.sum("won"), F.sum("pos") * F.sum(neg)).alias("auc"))
+    whole = Window.partitionBy(*by)
+    blocks = parts.groupBy(*by, "block").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost")).select(
+        *by, "block", "n", "lost", F.bround(F.sum("n").over(whole) * fraction, 0).alias("size"),
+        F.coalesce(F.sum("n").over(whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("above"))
+    ends = (F.col("above") < F.col("size")) & (F.col("above") + F.col("n") > F.col("size"))
+    cuts = cut_lineage(blocks.filter(ends).select(*by, "block", (F.col("size") - F.col("above")).alias("places")))
+    extra = rows.join(cuts.select("model", "block").distinct(), ["model", "block"], "left_semi").groupBy("model", "block").cogroup(
+        cuts.groupBy("model", "block")).applyInPandas(_cut_block(replicates, key), model + "replicate int, extra double")
+    lists = blocks.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(F.col("above") + F.col("n") <= F.col("size"), F.col("lost"))), F.lit(0.0)).alias("inside"),
+        F.sum("lost").alias("all_lost"))
+    captured = lists.join(extra, by, "left").select(*by, F.try_divide(
+        F.col("inside") + F.coalesce("extra", F.lit(0.0)), "all_lost").alias("value_captured"))
+    return area.filter("auc IS NOT NULL").join(captured, by)
 
 
 def bootstrap_intervals(metrics: DataFrame, reference: str) -> DataFrame:

@@ -24,9 +24,10 @@ def balances(spark: SparkSession, sf: str, params: Params = DEFAULT) -> DataFram
     return balance_variables(src.monthly(spark, sf), src.household(spark, sf), params)
 
 
-def recurring_flows(spark: SparkSession, sf: str, params: Params = EVENT_PARAMS) -> DataFrame:
-    return recurring.recurring_variables(src.recurring_tx(spark, sf),
-                                         src.recurring_event(spark, sf),
+def recurring_flows(spark: SparkSession, sf: str, params: Params = EVENT_PARAMS,
+                    events: DataFrame | None = None) -> DataFrame:
+    events = src.recurring_event(spark, sf) if events is None else events
+    return recurring.recurring_variables(src.recurring_tx(spark, sf), events,
                                          src.household(spark, sf), params)
 
 

@@ -685,6 +685,7 @@ def twr_reconciles(spark, sf):
 
 @query("counterfactual_rule")
 def counterfactual_rule(spark, sf):
+    """Alert rate and lift with each of six business rules on and off."""
     h = src.household(spark, sf)
     t, off = src.transfer(spark, sf), P.replace(new_destination_min_cumulative=10_000.0,
                                                  outflow_baseline_floor_monthly=1_000.0)
@@ -699,6 +700,18 @@ def counterfactual_rule(spark, sf):
         ledger.rule_effect(plan.transfer_flows(spark, sf, off), h, "destination_floor", "off", eight),
         ledger.rule_effect(plan.portfolio(spark, sf), h, "rmd", "on", nine),
         ledger.rule_effect(plan.portfolio(spark, sf, count_rmd=True), h, "rmd", "off", nine)]
+    fall, salary = F.col("recurring_deposit_change_pct") <= -0.30, F.col("salary_deposit_stopped_flag") == 1
+    mortgage = F.col("bureau_new_mortgage_elsewhere") == 1
+    detected = plan.recurring_flows(spark, sf)
+    bonus_counts = plan.recurring_flows(spark, sf, plan.EVENT_PARAMS.replace(bonus_multiple=1e12))
+    unreported = plan.recurring_flows(spark, sf, events=src.recurring_event(spark, sf).withColumns(
+        {c: F.lit(False) for c in ("retire_reported", "leave_reported", "death_reported", "business_sale")}))
+    effects += [
+        ledger.rule_effect(detected, h, "bonus", "on", fall), ledger.rule_effect(bonus_counts, h, "bonus", "off", fall),
+        ledger.rule_effect(detected, h, "reported_events", "on", salary),
+        ledger.rule_effect(unreported, h, "reported_events", "off", salary),
+        ledger.rule_effect(plan.bureau(spark, sf), h, "legal_clearance", "on", mortgage),
+        ledger.rule_effect(plan.bureau(spark, sf, P.replace(legal_cleared=False)), h, "legal_clearance", "off", mortgage)]
     return reduce(lambda a, b: a.unionByName(b), effects)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from oracles.ctes import CTES, E, T, build, r, rounded
 
 SQL: dict[str, str] = {}
@@ -238,10 +240,32 @@ _N10 = CTES["new_dest"].replace("50000", "10000")
 _NEW_F = """SELECT h.household_id, CASE WHEN history_months >= 16 THEN coalesce(new90, 0) END AS c FROM household h LEFT JOIN new10 n ON h.household_id = n.household_id"""
 _PCT_OFF = """SELECT h.household_id, CASE WHEN b60 >= 10000 THEN coalesce(s, 0) / b60 END AS p FROM household h LEFT JOIN balance b ON h.household_id = b.household_id
 LEFT JOIN (SELECT household_id, sum(amount) AS s FROM ext_off WHERE day > -60 GROUP BY 1) e ON h.household_id = e.household_id"""
+_DETECTOR = [n for n in list(CTES)[list(CTES).index("det1_in"):] if n in "pay_again pay_end stop_row stops replaced weights hits change f_recurring".split()
+             or n.startswith("det")]
+
+
+def _variant(tag: str, *swaps: tuple[str, str]) -> dict[str, str]:
+    """The detector's tables under another rule, with ``tag`` after their names."""
+    out = {}
+    for name in _DETECTOR:
+        text = re.sub(rf"(FROM|JOIN)\s+({'|'.join(_DETECTOR)})\b", rf"\1 \2{tag}", CTES[name])
+        for old, new in swaps:
+            text = text.replace(old, new)
+        out[name + tag] = text
+    return out
+
+
+_NO_EVENT = "SELECT c_custkey AS household_id, false AS retire_reported, false AS leave_reported, false AS death_reported, false AS business_sale FROM customer"
+_NO_BONUS_RULE = _variant("_nb", ("> 2 * m)", "> 1e12 * m)"), ("<= 2 * med", "<= 1e12 * med"))
+_NO_REPORTS = _variant("_nr", ("JOIN recurring_event", "JOIN no_event"))
 add("counterfactual_rule", "rule, variant", "alert_rate lift", " UNION ALL ".join([
     _EFFECT("f_transfers", "exclusions", "on", "external_transfer_pct_of_balance_60d > 0.15::DOUBLE"), _EFFECT("pct_off", "exclusions", "off", "p > 0.15::DOUBLE"),
     _EFFECT("f_transfers", "destination_floor", "on", "new_external_destinations_90d >= 1"), _EFFECT("new_f", "destination_floor", "off", "c >= 1"),
-    _EFFECT("f_investments", "rmd", "on", "investment_redemption_pct > 0.2::DOUBLE"), _EFFECT("f_investments_rmd", "rmd", "off", "investment_redemption_pct > 0.2::DOUBLE")]),
+    _EFFECT("f_investments", "rmd", "on", "investment_redemption_pct > 0.2::DOUBLE"), _EFFECT("f_investments_rmd", "rmd", "off", "investment_redemption_pct > 0.2::DOUBLE"),
+    *[_EFFECT(t, "bonus", v, "recurring_deposit_change_pct <= -0.3::DOUBLE") for t, v in (("f_recurring", "on"), ("f_recurring_nb", "off"))],
+    *[_EFFECT(t, "reported_events", v, "salary_deposit_stopped_flag = 1") for t, v in (("f_recurring", "on"), ("f_recurring_nr", "off"))],
+    _EFFECT("f_bureau", "legal_clearance", "on", "bureau_new_mortgage_elsewhere = 1"), _EFFECT("f_bureau", "legal_clearance", "off", "false")]),
+    no_event=_NO_EVENT, **_NO_BONUS_RULE, **_NO_REPORTS,
     ext_off=_EXT_OFF, new10=_N10, new_f=_NEW_F, pct_off=_PCT_OFF)
 
 CTES["churn"] = """

@@ -51,11 +51,46 @@ def test_expert_score_is_capped(spark):
     assert evaluate.expert_scorecard(row).first().expert_score == 100.0
 
 
-def test_bootstrap_draws_every_row_count(spark):
+def drawn_counts(df, replicates, seed):
+    return {r.household_id: np.frombuffer(r.weights, "<u2").astype(int)
+            for r in evaluate.resample(df, replicates, seed).collect()}
+
+
+def test_bootstrap_draws_every_row_count(spark, monkeypatch):
     df = scores(spark, [0, 1] * 50, range(100))
-    weights = evaluate.resample(df, 5, 3).groupBy("replicate").agg(F.sum("weight").alias("n"))
-    assert [r.n for r in weights.collect()] == [100] * 5
+    whole = drawn_counts(df, 5, 3)
+    assert (sum(whole.values()) == 100).all() and len(whole) == 100
+    assert all((whole[k] == w).all() for k, w in drawn_counts(df.repartition(3), 5, 3).items())
     assert evaluate.bootstrap_metrics(df, 5, 3).count() == 5
+    # Ranges of several blocks share the draws by binomials: all add up, means and variances stay.
+    monkeypatch.setattr(evaluate, "RANK_BLOCK", 16)
+    parts = np.concatenate([evaluate._drawn(b, 100, 4000, 9) for b in range(7)], axis=1)
+    assert parts.shape == (4000, 100) and (parts.sum(axis=1) == 100).all()
+    assert np.abs(parts.mean(axis=0) - 1).max() < 0.08 and np.abs(parts.var(axis=0) - 0.99).max() < 0.12
+
+
+def test_bootstrap_equals_brute_force_with_ties(spark, monkeypatch):
+    """Ties across blocks and chunks, a level that holds most rows, two models, NULL labels."""
+    from ebbtide.operators import ordering
+    monkeypatch.setattr(ordering, "LEAST_CUT", 10)
+    rng = np.random.default_rng(4)
+    rows = []
+    for model, score in (("even", rng.integers(0, 40, 600) / 40), ("hot", np.where(rng.random(600) < 0.7, 0.5, rng.random(600)))):
+        rows += [(i, model, float(s), None if i % 50 == 7 else float(i % 3 == 0), float(i % 11)) for i, s in enumerate(score)]
+    df = spark.createDataFrame(rows, "household_id long, model string, score double, label double, value double")
+    known = df.filter("label IS NOT NULL")
+    weights = drawn_counts(known, 6, 2)
+    got = {(r.model, r.replicate): r for r in evaluate.bootstrap_metrics(df, 6, 2).collect()}
+    assert len(got) == 12
+    for (model, replicate), r in got.items():
+        mine = [x for x in rows if x[1] == model and x[3] is not None]
+        pos = [(s, weights[i][replicate]) for i, _, s, y, _ in mine if y]
+        neg = [(s, weights[i][replicate]) for i, _, s, y, _ in mine if not y]
+        wins = sum(a * b * (1.0 if s > t else 0.5 if s == t else 0.0) for s, a in pos for t, b in neg)
+        assert r.auc == pytest.approx(wins / (sum(a for _, a in pos) * sum(b for _, b in neg)))
+        drawn = [x for x in sorted(mine, key=lambda x: (-x[2], x[0])) for _ in range(weights[x[0]][replicate])]
+        top = drawn[:round(len(drawn) * 0.10)]
+        assert r.value_captured == pytest.approx(sum(x[3] * x[4] for x in top) / sum(x[3] * x[4] for x in drawn))
 
 
 @pytest.fixture(scope="module")
