@@ -4,19 +4,24 @@ Targets: each source's share of the budget by weight, stopped at a multiple of i
 off goes to the others by weight until none is above.  That fixed point is a water level: a source
 stops when its cap over its weight lies under the level, which one window over the sources finds.
 
-Sampling: a document has the key -ln(u) / w, with u from a hash of its id and w its quality weight;
-small keys go first.  A source's target first takes complete epochs of all its documents; what is
-left is taken in key order up to the budget.  The order is not sorted as a whole: keys fall in
-ranges of about ``RANGE_ROWS`` rows, range sums place the budget in one range, and only that range
-is ordered, so a source that holds a third of all rows never meets in one task.
+Sampling: a document has the key -ln(u) / w, with u from a hash of its id and text and w its quality
+weight; small keys go first.  A source's target first takes complete epochs of all its documents; what
+is left is taken in key order up to the budget.  The order is not sorted as a whole: keys fall in
+ranges of at most about ``RANGE_ROWS`` rows, range sums place the budget in one range, and only that
+range is ordered, so a source that holds a third of all rows never meets in one task.  Ranges are
+equal steps of the key's logarithm: a weight only shifts that logarithm, whose density is at most
+1/e, so no mixture of weights crowds a range.
 
 Defined cases: a null source is a source of its own, after all others; a null text has size 0 and is
-never taken; sources without words have target 0; a null doc_id is hashed like a value; repeated
-rows tie and the order of equal keys is by doc_id, size and text hash; empty tables give no rows.
+never taken; sources without words have target 0; a null doc_id is hashed like a value; rows that
+repeat id and text tie and the order of equal keys is by doc_id, size and text hash; a null or
+non-positive weight counts as the least weight; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,11 +29,13 @@ from pyspark.sql import functions as F
 from ebbtide.llm.common import WORD, text_of
 from ebbtide.llm.rows import place_of, placed
 from ebbtide.operators.lineage import stored
+from ebbtide.operators.ordering import running_totals
 
-#: Rows of one source in a key range, about.
+#: Rows of one source in a key range, at most and about.
 RANGE_ROWS = 2_000
 #: Weights of the sources in order of their names, repeating.
 CYCLE = (3, 1, 2)
+LEAST_WEIGHT = 0.05
 SYMBOLS = "0123456789#$%&*!?@^_=+<>{}[]|~/\\"
 
 
@@ -39,7 +46,21 @@ def n_words(text: Column) -> Column:
 def quality_weight(text: Column) -> Column:
     """Weight of a document from its share of digits and symbols: 1 for plain prose, 0.05 at least."""
     share = F.try_divide(F.length(text) - F.length(F.translate(text, SYMBOLS, "")), F.length(text))
-    return F.greatest(F.lit(0.05), 1 - 4 * F.coalesce(share, F.lit(0.0)))
+    return F.greatest(F.lit(LEAST_WEIGHT), 1 - 4 * F.coalesce(share, F.lit(0.0)))
+
+
+def exponential_key(doc_id: Column, text: Column, weight: Column, seed: int) -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11).cast("double") + 0.5) / F.lit(2.0 ** 53)
+    return F.greatest(-F.ln(u) / weight, F.lit(1e-18))
+
+
+def steps_of(rows: Column) -> Column:
+    """Ranges per unit of the key's logarithm, so that none of them expects over ``RANGE_ROWS`` rows."""
+    return F.greatest(F.lit(1.0), F.ceil(rows / F.lit(math.e * RANGE_ROWS)).cast("double"))
+
+
+def key_range() -> Column:
+    return F.floor(F.ln("__key") * F.col("__steps"))
 
 
 def source_targets(sizes: DataFrame, budget_share: float, max_epochs: float,
@@ -67,34 +88,33 @@ def source_targets(sizes: DataFrame, budget_share: float, max_epochs: float,
 
 
 def mix(docs: DataFrame, budget_share: float = 1.5, max_epochs: float = 2.0, seed: int = 8,
-        cut_last: bool = True, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
+        cut_last: bool = True, cycle: tuple[int, ...] = CYCLE, weight: Column | None = None) -> DataFrame:
     """A row for each document: __place, doc_id, source, size, source_size, target, taken, epochs.
 
     ``taken`` counts words, repeats too; ``cut_last`` cuts the document in which a budget ends,
-    otherwise that document is taken whole if most of it fits.  ``__place`` is that of ``docs``, if it
+    otherwise that document is taken whole if most of it fits.  ``weight`` is the quality weight of a
+    row, that of its text if none is given.  ``__place`` is that of ``docs``, if it
     has one.
     """
     text = text_of()
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / F.lit(2.0 ** 53)
+    given = quality_weight(text) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(F.lit(LEAST_WEIGHT))
     light = stored(docs.select(
         place_of(docs).alias("__place"), F.col("doc_id"), F.col("source").cast("string").alias("source"),
-        n_words(text).alias("size"), (-F.ln(u) / quality_weight(text)).alias("__key"),
+        n_words(text).alias("size"), exponential_key(F.col("doc_id"), text, given, seed).alias("__key"),
         F.xxhash64(text).alias("__text")))
     targets = source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size"),
                                                          F.count("*").alias("n_rows")), budget_share, max_epochs, cycle)
     plan = stored(targets
                   .withColumn("epochs", F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))))
                   .withColumn("__rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-                  .withColumn("__ranges", F.ceil(F.col("n_rows") / F.lit(RANGE_ROWS)).cast("long")))
+                  .withColumn("__steps", steps_of(F.col("n_rows"))))
     # One row for each source; Spark broadcasts it when it is small and splits hot sources when not.
     same = light["source"].eqNullSafe(plan["source"])
-    # 1 - exp(-key) grows with the key and lies in (0, 1): it cuts a source into ranges.
     ranged = (light.join(plan, same).drop(plan["source"])
-              .withColumn("__range", F.floor((1 - F.exp(-F.col("__key"))) * F.col("__ranges"))))
-    sums = ranged.groupBy("source", "__range").agg(F.sum("size").alias("__sum"), F.first("__rest").alias("__rest"))
-    before = W.partitionBy("source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    sums = (sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-            .select(F.col("source").alias("__source"), F.col("__range").alias("__in"), "__before", "__sum"))
+              .withColumn("__range", key_range()))
+    sums = stored(ranged.groupBy("source", "__range").agg(F.sum("size").alias("__sum")))
+    sums = running_totals(sums, "__range", {"__sum": F.col("__sum")}, ["source"]).select(
+        F.col("source").alias("__source"), F.col("__range").alias("__in"), F.col("lt___sum").alias("__before"), "__sum")
     placed = (ranged.join(sums, ranged["source"].eqNullSafe(sums["__source"]) & (ranged["__range"] == sums["__in"]))
               .drop("__source", "__in")
               .withColumn("__cuts", (F.col("__before") < F.col("__rest"))

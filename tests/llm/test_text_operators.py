@@ -95,6 +95,39 @@ def test_mix_prefers_small_keys_and_complete_epochs(spark):
         assert r.taken >= epochs * r.size
 
 
+@pytest.mark.parametrize("range_rows", [5, 10_000])
+def test_mix_takes_documents_in_key_order(spark, monkeypatch, range_rows):
+    """Brute force over all documents of a source, with a weight column of its own."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    docs = documents(spark, mix_rows()).withColumn("w", F.when(F.col("doc_id") % 4 == 0, 0.05).when(F.col("doc_id") % 4 == 1, 3.0))
+    out = mixing.mix(docs, weight=F.col("w")).collect()
+    given = F.coalesce(F.col("w"), F.lit(mixing.LEAST_WEIGHT))
+    text = F.coalesce("text", F.lit(""))
+    keys = {(r.doc_id, r.source, r.size): r.key for r in docs.select("doc_id", "source", mixing.n_words(text).alias("size"), (
+        mixing.exponential_key(F.col("doc_id"), text, given, 8)).alias("key")).collect()}
+    groups = collections.defaultdict(list)
+    for r in out:
+        groups[r.source].append((keys[r.doc_id, r.source, r.size], r))
+    for rows in groups.values():
+        rows.sort(key=lambda x: x[0])
+        first = rows[0][1]
+        epochs = int(first.target // first.source_size) if first.source_size else 0
+        left = int(first.target - epochs * first.source_size + 1e-9)
+        for _, r in rows:
+            part = min(r.size, left)
+            assert r.taken == epochs * r.size + part
+            left -= part
+
+
+def test_no_mixture_of_weights_crowds_a_key_range(spark):
+    rows = 200_000
+    weight = F.when(F.col("id") % 3 > 0, mixing.LEAST_WEIGHT).otherwise(1.0)
+    keyed = spark.range(rows).select(mixing.exponential_key(F.lit(None).cast("long"), F.col("id").cast("string"), weight, 8)
+                                     .alias("__key"), mixing.steps_of(F.lit(rows)).alias("__steps"))
+    largest = keyed.groupBy(mixing.key_range()).count().agg(F.max("count")).first()[0]
+    assert largest < 1.2 * mixing.RANGE_ROWS
+
+
 def test_mixed_documents_repeat_rows(spark):
     docs = documents(spark, mix_rows())
     mixed = mixing.mixed_documents(docs)
