@@ -68,8 +68,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(pii.KINDS)]
+    # A lambda of two parameters would be given the position as its second one.
+    counted = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [counted(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
                         pii.listed(F.concat("base", "added")).alias("spans"))
 

@@ -179,6 +179,19 @@ def test_base_spans_equal_plain_patterns(spark):
     assert {r.doc_id: r.spans for r in out} == {i: base_spans(t or "") for i, t in enumerate(PII_TEXTS)}
 
 
+def test_query_counts_each_kind(spark, tmp_path):
+    from ebbtide.llm.queries import op9_pii
+    texts = [*PII_TEXTS, "a@b.com b@c.com 1.2.3.4", "4111111111111111 +1 234 567 8901 +1 234 567 8902"]
+    documents(spark, list(enumerate(texts))).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in op9_pii(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        plain = base_spans(text or "")
+        kinds = [span.split(":")[0] for span in plain.split(",")]
+        assert [out[i][f"n_{name}"] for name in pii.KINDS] == [kinds.count(name) for name in pii.KINDS]
+        assert out[i].base_sha256 == hashlib.sha256(plain.encode()).hexdigest()
+
+
 def test_long_runs_are_scanned_in_linear_time(spark):
     docs = documents(spark, [(1, "a" * 200_000 + " " + "9" * 200_000 + "." + "1-" * 100_000 + " a@x.y")])
     out = pii.find_spans(docs).select(pii.listed(F.col("base")).alias("spans")).first()
