@@ -18,6 +18,8 @@ from ebbtide.plans.memo import plan_memo
 SNAPSHOT = datetime.date(1999, 12, 31)
 EVENT_SNAPSHOT = datetime.date(2024, 1, 30)
 FIRST_MONTH, LAST_MONTH = -23, 6
+#: Households whose months one task lays out.
+PANEL_HOUSEHOLDS = 25_000
 
 # SLA days on the one-month event history.
 EVENT_SLA_DAYS = {"fees_pricing": 7, "process_delay": 10, "banker_attention": 5, "digital": 5,
@@ -183,40 +185,56 @@ def portfolio_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan_memo
 def monthly_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Household x month panel -23..6: month flows are summed first, then run over 30 rows each."""
-    grid = (table(spark, sf_dir, "customer")
-            .select(F.col("c_custkey").alias("household_id"),
-                    F.abs(F.col("c_acctbal")).alias("balance"),
-                    F.explode(F.sequence(F.lit(FIRST_MONTH), F.lit(LAST_MONTH))).alias("month"),
-                    F.lit(0.0).alias("signed"), F.lit(0.0).alias("contrib"),
-                    F.lit(0.0).alias("withdraw")))
+    """Household x month panel -23..6.
+
+    Month flows are summed first.  A household has a row that opens the panel and one for each month
+    with flows; each stands for the months up to the next one, so the sums run over these rows only
+    and the panel is laid out last.  The number of partitions follows the households, so that a task
+    lays out a bounded part of the panel.
+    """
+    customers = table(spark, sf_dir, "customer")
+    parts = max(spark.sparkContext.defaultParallelism, -(-customers.count() // PANEL_HOUSEHOLDS))
+    opening = customers.select(
+        F.col("c_custkey").alias("household_id"), F.abs(F.col("c_acctbal")).alias("balance"),
+        F.lit(FIRST_MONTH).alias("start"), F.lit(0.0).alias("signed"), F.lit(0.0).alias("contrib"),
+        F.lit(0.0).alias("withdraw"))
     amount = F.floor(F.col("o_totalprice") * 10) / 100
     flows = (table(spark, sf_dir, "orders").filter(_day_range("o_orderdate", -730, 182))
              .select(F.col("o_custkey").alias("household_id"),
                      F.lit(None).cast("double").alias("balance"),
-                     month_of(day_offset(F.to_date("o_orderdate"), F.lit(SNAPSHOT))).alias("month"),
+                     month_of(day_offset(F.to_date("o_orderdate"), F.lit(SNAPSHOT))).alias("start"),
                      F.when(F.col("o_orderkey") % 2 == 0, amount).otherwise(-amount).alias("signed"),
                      F.when(F.col("o_orderpriority") == "1-URGENT", amount).otherwise(0.0)
                       .alias("contrib"),
                      F.when(F.col("o_orderpriority") == "2-HIGH", amount).otherwise(0.0)
-                      .alias("withdraw")))
-    sums = (grid.unionByName(flows).groupBy("household_id", "month")
-                .agg(F.max("balance").alias("balance"),
-                     *[F.sum(c).alias(c) for c in ("signed", "contrib", "withdraw")])
-                .filter(F.col("balance").isNotNull()))
-    run = (Window.partitionBy("household_id").orderBy("month")
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                      .alias("withdraw"))
+             .filter(F.col("start").between(FIRST_MONTH, LAST_MONTH)))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("household_id", "start").agg(
+            F.max("balance").alias("balance"),
+            *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("signed", "contrib", "withdraw")])
+
+    rows = summed(opening.unionByName(summed(flows)).repartition(parts, "household_id"))
+    household = Window.partitionBy("household_id").orderBy("start")
+    run = household.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The opening row is a household's first and alone has the balance.
+    balance = F.first("balance").over(run)
     invests = _mod("household_id", 7) != 0
     net = F.sum(F.col("contrib") - F.col("withdraw")).over(run)
     history = F.least(F.lit(24), F.col("household_id") % 40 + 1)
-    return sums.select(
-        "household_id", "month",
-        F.round(F.greatest(F.lit(500.0), F.col("balance") * 5 + F.sum("signed").over(run)), 2)
+    runs = rows.withColumn("known", balance).select(
+        "household_id", "known", "start", "contrib", "withdraw",
+        F.sequence("start", F.lead("start", 1, LAST_MONTH + 1).over(household) - 1).alias("months"),
+        F.round(F.greatest(F.lit(500.0), F.col("known") * 5 + F.sum("signed").over(run)), 2)
          .alias("deposit_avg_balance"),
-        F.when(invests, F.round(F.col("balance") * 10 + 20000.0 + F.greatest(F.lit(0.0), net), 2))
-         .alias("aum_month_end"),
-        F.when(invests, F.round("contrib", 2)).otherwise(0.0).alias("aum_contributions"),
-        F.when(invests, F.round("withdraw", 2)).otherwise(0.0).alias("aum_withdrawals"),
+        F.when(invests, F.round(F.col("known") * 10 + 20000.0 + F.greatest(F.lit(0.0), net), 2))
+         .alias("aum_month_end"))
+    panel = runs.filter(F.col("known").isNotNull()).withColumn("month", F.explode("months"))
+    own = lambda c: F.when(invests & (F.col("month") == F.col("start")), F.round(c, 2)).otherwise(0.0)
+    return panel.select(
+        "household_id", "month", "deposit_avg_balance", "aum_month_end",
+        own("contrib").alias("aum_contributions"), own("withdraw").alias("aum_withdrawals"),
         (F.lit(1.0) + (F.col("month") + 23) * 4 / 1000).alias("twr_index"),
         (F.col("month") > -history).alias("available"))
 
