@@ -3,9 +3,9 @@
 Sets of 64-bit shingle fingerprints are joined by an inverted index over set prefixes, with the two
 skips of set relations:
 
-* Index lists are blocked by position.  A probing set joins only the position blocks in which a
+* Long index lists are blocked by position.  A probing set joins only the position blocks in which a
   partner could still reach the threshold if this token is their first common one; others are
-  skipped whole, and inside a block the exact bound decides.
+  skipped whole, and inside a block the exact bound decides.  The pairs of a short list are all tried.
 * Answers are derived from similar sets.  Equal sets are folded to one.  In a long list all sets are
   compared with the list's most central set (the one with the fewest rarer tokens); a set linked to
   it has its answer for this list.  Only sets outside that component then probe the list, and only
@@ -151,7 +151,7 @@ def _overlap(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil((nx + ny) * F.lit(percent) / F.lit(100 + percent))
 
 
-def _may_link(x: DataFrame, y: DataFrame, percent: int) -> Column:
+def _may_link(x: DataFrame | dict[str, Column], y: DataFrame | dict[str, Column], percent: int) -> Column:
     """Size bound, and position bound if this is the first common token."""
     rest = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
     return ((100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
@@ -163,8 +163,7 @@ def _block(pos: Column) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of places whose sets are linked, by whole texts."""
-    pairs = stored(pairs)
+    """The pairs (a, b) of places, from a stored table, whose sets are linked, by whole texts."""
     hubs = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(HUB_PARTNERS)).cast("int").alias("parts")))
     texts = docs.select("__place", "__text")
     sides = if_small(pairs.join(hubs, "a").select(
@@ -213,23 +212,20 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     entries = stored(_entries(single, width, percent, common))
     lists = stored(entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"))
     # The lists hold one row for each token, spread by its hash: small hash tables, and no sort of the entries.
-    entries = stored(entries.join(lists.hint("shuffle_hash"), "token").withColumn("block", _block(F.col("pos"))))
+    entries = stored(entries.join(lists.hint("shuffle_hash"), "token"))
 
-    short = entries.filter(F.col("size") <= SHORT_LIST)
-    x, y = short, short.select(*[F.col(c).alias(c) for c in short.columns])
-    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    pairs = _probe(x, y, percent, x["__place"] < y["__place"]).select(*ordered(x["__place"], y["__place"]))
-    long = entries.filter(F.col("size") > SHORT_LIST)
+    pairs = _short_pairs(entries.filter(F.col("size") <= SHORT_LIST), percent)
+    long = entries.filter(F.col("size") > SHORT_LIST).withColumn("block", _block(F.col("pos")))
     mids = stored(long.groupBy("token").agg(F.min(F.struct("pos", "n", "__place")).alias("mid"))
                   .select(F.col("token").alias("t"), "mid.pos", "mid.n", "mid.__place"))
     star = (long.join(mids, (long["token"] == mids["t"]) & (long["__place"] != mids["__place"]) & _may_link(long, mids, percent))
             .select(mids["__place"].alias("a"), long["__place"].alias("b")))
     # A pair found from both ends is verified once.
-    links = verified(_once(pairs.union(star)), placed, width, percent)
+    tried = stored(_once(pairs.union(star)))
+    links = verified(tried, placed, width, percent)
     found = components(links)
-    more = _stray_pairs(long, mids, found, percent)
-    tried = pairs.union(star.select(*ordered(F.col("a"), F.col("b"))))
-    more = more.distinct().join(tried.distinct(), ["a", "b"], "left_anti")
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = stored(_stray_pairs(long, mids, found, percent).distinct().join(tried, ["a", "b"], "left_anti"))
     links = links.union(verified(more, placed, width, percent)).union(folded.select(F.col("first").alias("a"), F.col("__place").alias("b")))
     roots = components(stored(links))
     rooted = stored(sets.join(roots, sets["__place"] == roots["node"], "left").select(
@@ -249,6 +245,18 @@ def _once(pairs: DataFrame) -> DataFrame:
                 "a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")))
 
 
+def _short_pairs(short: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of places that may link, by all pairs of each short list.
+
+    Such a list has no blocks to skip, so its entries are exchanged as they are, once for both sides.
+    """
+    x, y = short.alias("x"), short.alias("y")
+    side = lambda name: {c: F.col(f"{name}.{c}") for c in ("token", "__place", "n", "pos")}
+    a, b = side("x"), side("y")
+    return (x.join(y, (a["token"] == b["token"]) & (a["__place"] < b["__place"]) & _may_link(a, b, percent))
+            .select(a["__place"].alias("a"), b["__place"].alias("b")))
+
+
 def _probe(x: DataFrame, y: DataFrame, percent: int, also: Column) -> DataFrame:
     """Join probing entries x with list entries y: only position blocks that can hold a partner.
 

@@ -94,6 +94,34 @@ def test_jaccard_components(spark, monkeypatch, settings):
     assert sortable((r.doc_id, r.n_shingles, r.component_id) for r in out) == sortable(want)
 
 
+def test_short_lists_are_exchanged_as_they_are(spark):
+    """The pairs of short lists by brute force; no entry is multiplied before its exchange."""
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 2, 7, 40, 44, 50, 52]) for _ in range(50)]
+    entries = [(token, place, sizes[place], rng.randrange(sizes[place])) for token in range(200)
+               for place in rng.sample(range(50), rng.randint(1, 8))]
+
+    def may_link(x, y):
+        (_, _, n, p), (_, _, m, q) = x, y
+        return 100 * min(n, m) >= 75 * max(n, m) and min(n - p, m - q) >= -(-(n + m) * 75 // 175)
+    want = sorted((x[1], y[1]) for x in entries for y in entries if x[0] == y[0] and x[1] < y[1] and may_link(x, y))
+    pairs = jaccard_join._short_pairs(spark.createDataFrame(entries, "token long, __place long, n int, pos int"), 75)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == want and want
+    plan = pairs._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "explode" not in plan
+
+
+def test_long_lists_alone_are_probed_by_blocks(spark, monkeypatch):
+    seen, probe = [], jaccard_join._probe
+    monkeypatch.setattr(jaccard_join, "_probe", lambda x, y, *more: seen.append(x.count()) or probe(x, y, *more))
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 10_000)
+    rows = near_copies(7)
+    out = jaccard_join.linked_components(documents(spark, rows)).collect()
+    want = [(r[0], *x) for r, x in zip(rows, brute_components(rows))]
+    assert sortable((r.doc_id, r.n_shingles, r.component_id) for r in out) == sortable(want)
+    assert not any(seen)
+
+
 def test_one_per_component(spark):
     rows = near_copies(9)
     docs = documents(spark, rows)
