@@ -212,3 +212,45 @@ def test_t_fit_of_odd_tables(spark):
     assert st.student_t_fit(spark.createDataFrame(pd.DataFrame({"z": normal})), "z").first().nu == pytest.approx(1e6)
     assert st.student_t_fit(spark.createDataFrame([(None,), (0.0,)], "z double"), "z").first().nu is None
     assert st.digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-13) and st.trigamma(1.0) == pytest.approx(math.pi ** 2 / 6, abs=1e-13)
+
+
+def test_models_and_expert_read_features_that_are_worked_out_once(spark, monkeypatch):
+    from ebbtide.plans import features, q_scoring
+    seen = []
+
+    def groups(spark, sf):
+        seen.append("groups")
+        odd = F.col("id") % 2
+        return spark.range(40).select(F.col("id").alias("household_id"), odd.alias("signal"))
+
+    def frame(spark, sf, groups):
+        rows = groups.withColumn("split", F.lit("test"))
+        return rows.select("*", F.lit("HNW").alias("segment"), (F.col("signal").cast("int")).alias("hard_churn_6m"),
+                           F.lit(1.0).alias("relationship_value")), []
+    model = F.col("signal").cast("double")
+    monkeypatch.setattr(features, "seven_groups", groups)
+    monkeypatch.setattr(q_scoring, "_model_rows", lambda spark, sf, found=None: frame(
+        spark, sf, groups(spark, sf) if found is None else found))
+    monkeypatch.setattr(models, "fit_models", lambda *a, **k: None)
+    monkeypatch.setattr(models, "predict", lambda fitted, rows: rows.select(
+        F.col("household_id"), *[model.alias(f"{m}_prob") for m in ("trees", "linear", "neural")]))
+    monkeypatch.setattr(evaluate, "expert_scorecard", lambda df: df.select("household_id", F.col("signal").alias("expert_score")))
+    monkeypatch.setattr(q_scoring, "business_rules", lambda spark, sf: spark.range(40).select(
+        F.col("id").alias("household_id"), F.lit(0.0).alias("rules_score")))
+    found = {r["model"]: r["auc"] for r in q_scoring.fitted_model_comparison(spark, "none").collect()}
+    assert seen == ["groups"]
+    assert found == {"trees": 1.0, "linear": 1.0, "neural": 1.0, "expert": 1.0, "rules": 0.5}
+
+
+def test_inputs_are_measured_once_for_all_models(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"household_id": range(300), "a": rng.normal(size=300), "b": rng.normal(size=300), "s": rng.normal(size=300)})
+    pdf["y"] = (pdf.a + rng.normal(size=300) > 0).astype(int)
+    pdf.loc[::7, "b"] = np.nan
+    rows = spark.createDataFrame(pdf).withColumn("b", F.when(~F.isnan("b"), F.col("b")))
+    calls = []
+    monkeypatch.setattr(models, "fit_inputs", lambda *a, fit=models.fit_inputs: calls.append(a[1]) or fit(*a))
+    fitted = models.fit_models(rows, ["a", "b"], ["s"], "y", iterations=1, epochs=1)
+    assert calls == [["a", "b", "s"]]
+    alone = models.fit_linear(rows, ["a", "b"], "y", 0.5)
+    assert fitted["linear"].inputs == alone.inputs and fitted["linear"].weights == alone.weights
