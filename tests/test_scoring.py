@@ -254,3 +254,13 @@ def test_inputs_are_measured_once_for_all_models(spark, monkeypatch):
     assert calls == [["a", "b", "s"]]
     alone = models.fit_linear(rows, ["a", "b"], "y", 0.5)
     assert fitted["linear"].inputs == alone.inputs and fitted["linear"].weights == alone.weights
+
+
+def test_trees_grow_beside_the_other_models(spark, monkeypatch):
+    import threading
+    from ebbtide.operators import boosting, neural
+    rows = spark.createDataFrame([(i, float(i % 7), i % 2) for i in range(60)], "household_id long, a double, y int")
+    begun = threading.Event()
+    monkeypatch.setattr(boosting, "fit", lambda *a, **k: "trees" if begun.wait(60) else "alone")
+    monkeypatch.setattr(neural, "fit", lambda *a, **k: begun.set())
+    assert models.fit_models(rows, ["a"], [], "y")["trees"] == "trees"
